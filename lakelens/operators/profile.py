@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ MAD_FACTOR = 0.6745  # fixed value: scale of the median absolute deviation score
 
 def report(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small result table from a few driver values (one row per column, metric or model)."""
-    return spark.createDataFrame(rows, schema)
+    plain = [tuple(v.item() if isinstance(v, np.generic) else v for v in row) for row in rows]
+    return spark.createDataFrame(plain, schema)
 
 
 def missing_per_column(df: DataFrame) -> DataFrame:
