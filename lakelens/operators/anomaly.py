@@ -71,7 +71,7 @@ def hbos(df: DataFrame, features: str = "features") -> DataFrame:
 def _tails(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, float]]:
     """Attach -log of the left and right ECDF of every feature; also each feature's skewness sign."""
     counts = value_counts_long(df, names)
-    cum = cut(running_totals(counts, "value", ["n"], by=["variable"]))
+    cum = cut(running_totals(counts, "value", ["n"], by=["variable"], few_groups=True))
     row = df.agg(F.count("*").alias("n"), *[F.skewness(c).alias(c) for c in names]).first()
     n = float(row["n"])
     for c in names:

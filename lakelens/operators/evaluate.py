@@ -48,7 +48,7 @@ def threshold_table(df: DataFrame, y: str, score_of: dict[object, Column], micro
     """
     counts = score_counts(df, y, score_of, micro).persist()
     totals = counts.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    cum = running_totals(counts, "score", ["pos", "neg"], by=["class"], descending=True)
+    cum = running_totals(counts, "score", ["pos", "neg"], by=["class"], descending=True, few_groups=True)
     return cum.withColumnsRenamed({"pos_cum": "tp", "neg_cum": "fp"}).join(F.broadcast(totals), "class")
 
 

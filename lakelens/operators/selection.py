@@ -106,9 +106,10 @@ def shadow_features(df: DataFrame, features: str, seed: int, out: str) -> DataFr
     column keeps its distribution; each slot is then drawn from one of three shifted rows.
     """
     from lakelens.plans.ranking import shuffled_row_number
+    from lakelens.plans.session import cut
 
     base = df.withColumn("__x", as_array(df, features)).withColumn("__h", F.xxhash64("__x", "label"))
-    base = base.withColumn("__i", F.monotonically_increasing_id())
+    base = cut(base.withColumn("__i", F.monotonically_increasing_id()))  # written once, so the ids stay fixed
     left = shuffled_row_number(base, ["__h", "__i"], f"{seed}", out="__n")
     work = left.persist()
     for s in range(3):

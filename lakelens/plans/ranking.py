@@ -14,6 +14,7 @@ from lakelens.functions.columns import col, number
 from lakelens.plans.session import lookup
 
 RANGES = 128
+MAX_BROADCAST_GROUPS = 5_000
 
 
 def _range_of(value: Column, edges: Column) -> Column:
@@ -27,10 +28,12 @@ def running_totals(
     by: list[str] | None = None,
     descending: bool = False,
     ranges: int = RANGES,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Add ``<w>_cum``, the inclusive running sum of each weight in the order of ``order``.
 
-    ``counts`` has one row per (by, order value); ``by`` names a few groups (columns, classes).
+    ``counts`` has one row per (by, order value). The range edges of the groups are broadcast only when
+    there are few groups: by construction (``few_groups``, e.g. column names) or by count.
     """
     by = list(by or [])
     counts = counts.persist()
@@ -39,8 +42,13 @@ def running_totals(
     edges = counts.groupBy(*key).agg(
         F.array_sort(F.array_distinct(F.percentile_approx(order, probs, 10_000))).alias("__edges")
     )
+    small = few_groups or not by
+    if not small:
+        edges = edges.persist()
+        small = edges.count() <= MAX_BROADCAST_GROUPS
+    hint = F.broadcast if small else (lambda table: table)
     ranged = (
-        counts.join(F.broadcast(edges), by)
+        counts.join(hint(edges), by)
         if by
         else counts.withColumn("__edges", F.array(*[F.lit(float(e)) for e in (edges.first()[0] or [])]).cast("array<double>"))
     )
@@ -54,7 +62,7 @@ def running_totals(
     )
     inner = F.col(order).desc() if descending else F.col(order).asc()
     local = Window.partitionBy(*key, "__r").orderBy(inner).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(offsets), [*by, "__r"])
+    out = ranged.join(hint(offsets), [*by, "__r"])
     for w in weights:
         out = out.withColumn(f"{w}_cum", F.col(f"__o_{w}") + F.sum(w).over(local))
     return out.drop("__r", *[f"__o_{w}" for w in weights])
@@ -74,7 +82,7 @@ def value_counts_long(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def average_rank_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """(variable, value, n, rank): ties share the mean of their positions 1..N."""
-    ranked = running_totals(value_counts_long(df, columns), "value", ["n"], by=["variable"])
+    ranked = running_totals(value_counts_long(df, columns), "value", ["n"], by=["variable"], few_groups=True)
     return ranked.select("variable", "value", "n", (F.col("n_cum") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
 
 
