@@ -17,7 +17,7 @@ from lakelens.operators.profile import report
 from lakelens.plans.matrix import array_udf, as_array, gram, moments, stack, sum_matrices
 from lakelens.plans.quantiles import exact_quantiles
 from lakelens.plans.ranking import running_totals, value_counts_long
-from lakelens.plans.session import cut, lookup
+from lakelens.plans.session import BROADCAST_NUMBERS, cut, lookup
 
 SEED = 123
 
@@ -81,7 +81,7 @@ def _tails(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, float]
             (-F.ln(F.col("n_cum") / n)).alias(f"{c}_l"),
             (-F.ln((n - F.col("n_cum") + F.col("n")) / n)).alias(f"{c}_r"),
         )
-        df = lookup(df.withColumn("__k", F.col(c) + F.lit(0.0)), part, "__k", "__n").drop("__k")
+        df = lookup(df.withColumn("__k", F.col(c) + F.lit(0.0)), part, "__k", "__n", BROADCAST_NUMBERS).drop("__k")
     sign = {c: 0.0 if row[c] is None or math.isnan(row[c]) else float(np.sign(row[c])) for c in names}
     return df, sign
 

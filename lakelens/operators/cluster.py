@@ -16,7 +16,7 @@ from lakelens.operators.associations import corrected_v
 from lakelens.operators.knn import RadiusBlocks, connected_components, distances, knn_join
 from lakelens.operators.profile import report
 from lakelens.plans.matrix import array_udf, as_array, gram, moments, stack, sum_matrices
-from lakelens.plans.session import cut, lookup
+from lakelens.plans.session import BROADCAST_VECTORS, cut, lookup
 
 SEED = 123
 MICRO = 1000  # micro-clusters that reach the driver-side linkage
@@ -343,7 +343,7 @@ def dbscan(df: DataFrame, id_col: str, features: str = "features", eps: float =
     edge_labels = rb.run(border, labelled.select("qid", "v", "cell", "dp", "label"), touch, f"qid {idt}, label int").groupBy("qid").agg(F.min("label").alias("label"))
     all_labels = labelled.select("qid", "label").unionByName(edge_labels)
     table = distinct.join(all_labels, "qid", "left").select("v", "m", F.coalesce("label", F.lit(-1)).alias("cluster_label"))
-    marks = lookup(rows, cut(table), "v", "m").select(F.col("id").alias(id_col), "cluster_label")
+    marks = lookup(rows, cut(table), "v", "m", BROADCAST_VECTORS).select(F.col("id").alias(id_col), "cluster_label")
     return df.join(marks, id_col)
 
 

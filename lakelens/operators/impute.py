@@ -81,6 +81,7 @@ class ForestImputer(Estimator, _Settings):
     @keyword_only
     def __init__(self, nums=None, cats=None, method="miss_forest", rounds=2):
         super().__init__()
+        self._setDefault(nums=[], cats=[], method="miss_forest", rounds=2)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df):

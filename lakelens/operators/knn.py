@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lakelens.functions.columns import col
 from lakelens.plans.matrix import as_array, stack
-from lakelens.plans.session import cut, lookup
+from lakelens.plans.session import BROADCAST_VECTORS, cut, lookup
 
 BLOCK = 2048
 MAX_PIVOTS = 1000
@@ -156,7 +156,7 @@ def knn_join(
     near = knn_vectors(distinct.select("qid", "v"), cut(kept), k1, p, pivots, block)
     lists = near.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near"))  # k1 entries each
     table = distinct.join(lists, "qid").select("v", "n", "near")
-    rows = lookup(q, cut(table), "v", "n")
+    rows = lookup(q, cut(table), "v", "n", BROADCAST_VECTORS)
     own = F.filter("near", lambda e: e["id"] != F.col("id")) if same else F.col("near")
     return rows.select(F.col("id").alias(id_col), F.posexplode(F.slice(own, 1, k)).alias("i", "e")).select(
         id_col, (F.col("i") + 1).alias("rank"), F.col("e.id").alias("neighbour"), F.col("e.distance").alias("distance")
@@ -218,7 +218,7 @@ def neighbour_counts(df: DataFrame, id_col: str, features: str, eps: float, p: i
 
     per = rb.run(rb.rows, rb.rows, count, f"qid {dict(distinct.dtypes)['qid']}, n long").groupBy("qid").agg(F.sum("n").alias("n"))
     table = distinct.join(per, "qid").select("v", F.col("m"), "n")
-    return lookup(rows, cut(table), "v", "m").select(F.col("id").alias(id_col), "n")
+    return lookup(rows, cut(table), "v", "m", BROADCAST_VECTORS).select(F.col("id").alias(id_col), "n")
 
 
 # ---------------------------------------------------------------- connected components

@@ -243,6 +243,24 @@ def infinite_counts(df: DataFrame) -> DataFrame:
     )
 
 
+def column_facts(df: DataFrame) -> dict[str, dict]:
+    """Missing, constant, infinite and moment facts of all columns from ONE aggregate."""
+    rl = roles(df)
+    aggs = [F.count("*").alias("n")]
+    for i, c in enumerate(df.columns):
+        gone = is_missing(df, c)
+        parts = [F.count(F.when(gone, 1)).alias("missing")]
+        if c not in rl.other:
+            v = F.when(~gone, col(c))
+            parts += [F.min(v).cast("string").alias("low"), (F.min(v) == F.max(v)).alias("constant")]
+        if c in rl.num:
+            x = number(df, c)
+            parts += [F.count(F.when(F.abs(x) == float("inf"), 1)).alias("infinite"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurtosis")]
+        aggs.append(F.struct(*parts).alias(f"s{i}"))
+    row = df.agg(*aggs).first()
+    return {c: {"n": row["n"], **row[f"s{i}"].asDict()} for i, c in enumerate(df.columns)}
+
+
 def alerts(
     df: DataFrame,
     associations: DataFrame | None = None,
@@ -264,10 +282,24 @@ def alerts(
     def add(variable, alert, detail, stat=None, p=None, n=None, pct=None):
         rows.append((variable, alert, detail, stat, p, n, pct))
 
-    for v in constant_columns(df).collect():
-        add(v["variable"], "Constant", f"Column only contains one value: {v['value']}")
-    for v in missing_per_column(df).where("n_missing > 0").collect():
-        add(v["variable"], "Missing Values", f"Column has {v['n_missing']} missing values ({v['pct']:.1f}%)", None, None, v["n_missing"], v["pct"])
+    for c, f in column_facts(df).items():
+        present = f["n"] - f["missing"]
+        if f.get("constant"):
+            add(c, "Constant", f"Column only contains one value: {f['low']}")
+        if f["missing"]:
+            pct = 100.0 * f["missing"] / f["n"]
+            add(c, "Missing Values", f"Column has {f['missing']} missing values ({pct:.1f}%)", None, None, f["missing"], pct)
+        if c in rl.num and not (strict and f["missing"]):
+            for name, z, alpha, lead in (
+                ("Kurtosis", kurtosis_z(f["kurtosis"], present), kurtosis_alpha, "Not mesokurtic"),
+                ("Skewness", skew_z(f["skew"], present), skew_alpha, "Highly skewed"),
+            ):
+                p = None if z is None else norm_two_sided(z)
+                if p is not None and p < alpha:
+                    add(c, name, f"{lead} (statistic={z:.2f}, p={p:.2f})", z, p)
+        if f.get("infinite"):
+            pct = 100.0 * f["infinite"] / f["n"]
+            add(c, "Infinite Values", f"Column has {f['infinite']} infinite values ({pct:.1f}%)", None, None, f["infinite"], pct)
     if rl.cat:
         for v in category_facts(df).collect():
             if v["n_distinct"] > cardinality:
@@ -277,15 +309,6 @@ def alerts(
             if v["n_distinct"] == v["n_rows"]:
                 add(v["variable"], "Unique Values", "All values of the column are unique", None, None, v["n_distinct"])
     if rl.num:
-        for v in normality(df, strict=strict).collect():
-            for name, z, p, alpha, lead in (
-                ("Kurtosis", v["kurtosis_z"], v["kurtosis_p"], kurtosis_alpha, "Not mesokurtic"),
-                ("Skewness", v["skew_z"], v["skew_p"], skew_alpha, "Highly skewed"),
-            ):
-                if p is not None and p < alpha:
-                    add(v["variable"], name, f"{lead} (statistic={z:.2f}, p={p:.2f})", z, p)
-        for v in infinite_counts(df).where("n_infinite > 0").collect():
-            add(v["variable"], "Infinite Values", f"Column has {v['n_infinite']} infinite values ({v['pct']:.1f}%)", None, None, v["n_infinite"], v["pct"])
         for v in mad_outliers(df, outlier_threshold).where("n_outliers > 0").collect():
             add(
                 v["variable"],

@@ -11,14 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.functions.columns import col, number
-from lakelens.plans.session import lookup
+from lakelens.plans.session import BROADCAST_NUMBERS, lookup
 
-RANGES = 128
+STEP = 64
+MIN_RANGES, MAX_RANGES = 4, STEP * STEP
+RANGE_ROWS = 100_000  # wanted rows per range
 MAX_BROADCAST_GROUPS = 5_000
 
 
-def _range_of(value: Column, edges: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: e < value))
+def _range_of(value: Column, edges: Column, ranges: int) -> Column:
+    """Number of sorted edges below the value; long edge lists are searched in two steps."""
+    if ranges <= STEP:
+        return F.size(F.filter(edges, lambda e: e < value))
+    coarse = F.size(F.filter(F.sequence(F.lit(STEP), F.size(edges), F.lit(STEP)), lambda i: F.get(edges, i - 1) < value))
+    coarse = F.when(F.size(edges) >= STEP, coarse).otherwise(0)
+    return coarse * STEP + F.size(F.filter(F.slice(edges, coarse * STEP + 1, F.lit(STEP)), lambda e: e < value))
 
 
 def running_totals(
@@ -27,7 +34,7 @@ def running_totals(
     weights: list[str],
     by: list[str] | None = None,
     descending: bool = False,
-    ranges: int = RANGES,
+    ranges: int | None = None,
     few_groups: bool = False,
 ) -> DataFrame:
     """Add ``<w>_cum``, the inclusive running sum of each weight in the order of ``order``.
@@ -37,22 +44,26 @@ def running_totals(
     """
     by = list(by or [])
     counts = counts.persist()
+    if ranges is None:
+        ranges = min(MAX_RANGES, max(MIN_RANGES, counts.count() // RANGE_ROWS))
     probs = [i / ranges for i in range(1, ranges)]
     key = [F.col(b) for b in by]
     edges = counts.groupBy(*key).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(order, probs, 10_000))).alias("__edges")
+        F.array_sort(F.array_distinct(F.percentile_approx(order, probs, 20_000))).alias("__edges")
     )
+    spark = counts.sparkSession
     small = few_groups or not by
     if not small:
         edges = edges.persist()
         small = edges.count() <= MAX_BROADCAST_GROUPS
+    if not by:
+        ranged = counts.withColumn("__edges", F.array(*[F.lit(float(e)) for e in (edges.first()[0] or [])]).cast("array<double>"))
+    elif small:  # a few rows: fetched once, so that later stages do not compute them again
+        ranged = counts.join(F.broadcast(spark.createDataFrame(edges.collect(), edges.schema)), by)
+    else:
+        ranged = counts.join(edges, by)
     hint = F.broadcast if small else (lambda table: table)
-    ranged = (
-        counts.join(hint(edges), by)
-        if by
-        else counts.withColumn("__edges", F.array(*[F.lit(float(e)) for e in (edges.first()[0] or [])]).cast("array<double>"))
-    )
-    ranged = ranged.withColumn("__r", _range_of(F.col(order).cast("double"), F.col("__edges"))).drop("__edges")
+    ranged = ranged.withColumn("__r", _range_of(F.col(order).cast("double"), F.col("__edges"), ranges)).drop("__edges")
     totals = ranged.groupBy(*key, "__r").agg(*[F.sum(w).alias(f"__t_{w}") for w in weights])
     direction = F.col("__r").desc() if descending else F.col("__r").asc()
     before = Window.partitionBy(*key).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
@@ -94,7 +105,7 @@ def with_average_ranks(df: DataFrame, columns: list[str], suffix: str = "__rank"
         part = table.where(F.col("variable") == c).select(
             F.col("value").alias("__k"), F.col("n").alias("__n"), F.col("rank").alias(c + suffix)
         )
-        df = lookup(df.withColumn("__k", number(df, c) + F.lit(0.0)), part, "__k", "__n").drop("__k")
+        df = lookup(df.withColumn("__k", number(df, c) + F.lit(0.0)), part, "__k", "__n", BROADCAST_NUMBERS).drop("__k")
     return df
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only when its row count, taken beforehand, is at most this.
 BROADCAST_ROWS = 200_000
+BROADCAST_NUMBERS = 1_000_000  # the same for tables of two or three plain numbers
+BROADCAST_VECTORS = 20_000  # and for tables keyed by feature vectors
 
 _local_root: dict[str, str] = {}
 
@@ -46,18 +48,21 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join of rows with a keyed table (unique, non-null ``key``) that stands hot keys.
 
-    ``weight`` in ``table`` is the number of rows that carry the key. A table of at most BROADCAST_ROWS
-    rows is broadcast. Beyond that the keys that hold more than 1/1000 of the rows (so fewer than 1,000
-    keys) are joined by broadcast and only the others are shuffled.
+    ``weight`` in ``table`` is the number of rows that carry the key. A table of at most ``limit`` rows is
+    broadcast. Beyond that it is a shuffle join when no key holds more than 1/1000 of the rows; otherwise
+    the hot keys (fewer than 1,000) are joined by broadcast, only the others are shuffled, and the result
+    is written once so that chained lookups do not multiply scans.
     """
     table = table.persist()
-    size, total = table.agg(F.count("*"), F.sum(weight)).first()
+    size, total, top = table.agg(F.count("*"), F.sum(weight), F.max(weight)).first()
     keep = [c for c in table.columns if c != weight]
-    if size <= BROADCAST_ROWS:
+    if size <= limit:
         return rows.join(F.broadcast(table.select(keep)), key)
+    if top <= total / 1000:
+        return rows.join(table.select(keep), key)
     hot = F.broadcast(table.where(F.col(weight) > total / 1000).select(keep))
     cold = table.where(F.col(weight) <= total / 1000).select(keep)
-    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
+    return cut(rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key)))
