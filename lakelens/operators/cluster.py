@@ -327,7 +327,7 @@ def dbscan(df: DataFrame, id_col: str, features: str = "features", eps: float =
                 first = {c: h for h, c in zip(hit[::-1], comp[hit][::-1])}
                 edges += [(nodes[a], nodes[first[c]]) for c in other]
                 comp[np.isin(comp, other)] = comp[a]
-        return pd.DataFrame(edges, columns=["a", "b"]) if edges else pd.DataFrame({"a": [], "b": []})
+        return pd.DataFrame(edges, columns=["a", "b"]) if edges else pd.DataFrame()
 
     edges = rb.run(core, core, forest, f"a {idt}, b {idt}")
     comp = connected_components(cut(edges.unionByName(core.select(F.col("qid").alias("a"), F.col("qid").alias("b")))))
@@ -337,7 +337,8 @@ def dbscan(df: DataFrame, id_col: str, features: str = "features", eps: float =
 
     def touch(left, right, near):
         lab = np.where(near, right["label"].to_numpy()[None, :], np.iinfo("int32").max).min(axis=1)
-        return pd.DataFrame({"qid": left["qid"], "label": lab})[near.any(axis=1)]
+        out = pd.DataFrame({"qid": left["qid"].to_numpy(), "label": lab})[near.any(axis=1)]
+        return out if len(out) else pd.DataFrame()
 
     border = rb.rows.join(core_ids, "qid", "left_anti")
     edge_labels = rb.run(border, labelled.select("qid", "v", "cell", "dp", "label"), touch, f"qid {idt}, label int").groupBy("qid").agg(F.min("label").alias("label"))

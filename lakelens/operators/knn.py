@@ -114,7 +114,7 @@ def knn_vectors(queries: DataFrame, data: DataFrame, k: int, p: int = 2, pivots:
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "id": [], "distance": []})
+            return pd.DataFrame()
         right = right.sort_values("id")
         d = distances(stack(left["v"]), stack(right["v"]), p)
         m = min(k, d.shape[1])
@@ -200,7 +200,7 @@ class RadiusBlocks:
 
         def near(left, right):
             if not len(left) or not len(right):
-                return pd.DataFrame({c.split()[0]: [] for c in schema.split(",")})
+                return pd.DataFrame()
             return fn(left, right, distances(stack(left["v"]), stack(right["v"]), p) <= eps)
 
         sent = _send(data.withColumnRenamed("qid", "id"), self.reach)
@@ -270,7 +270,7 @@ def silhouette_blocks(df: DataFrame, id_col: str, features: str, label: str, lim
 
     def sums(left, right):
         if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "own": [], "g": [], "s": []})
+            return pd.DataFrame()
         d = distances(stack(left["v"]), stack(right["v"]))
         frames = [
             pd.DataFrame({"qid": left["qid"], "own": left["g"], "g": g, "s": d[:, ix].sum(axis=1)}) for g, ix in right.reset_index(drop=True).groupby("g").indices.items()

@@ -99,8 +99,9 @@ def _lag_sums(x: DataFrame, by: list[str], lags: int, fn, block: int) -> pd.Data
         pdf = pdf.sort_values("pos")
         start = int(pdf["blk"].iloc[0]) * size
         out = fn(pdf["x"].to_numpy(float), int((pdf["pos"] < start).sum()), int(pdf["pos"].iloc[0]) == 0)
-        rows = [pd.DataFrame({"name": k, "i": range(np.size(m)), "x": np.ravel(m)}) for k, m in out.items()]
-        res = pd.concat(rows) if rows else pd.DataFrame({"name": [], "i": [], "x": []})
+        if not out:  # a block that holds only the history of a series' end
+            return pd.DataFrame()
+        res = pd.concat([pd.DataFrame({"name": k, "i": range(np.size(m)), "x": np.ravel(m)}) for k, m in out.items()])
         for b in by:
             res[b] = pdf[b].iloc[0]
         return res[[*by, "name", "i", "x"]]
