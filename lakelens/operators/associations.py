@@ -25,7 +25,10 @@ def _correlations(df: DataFrame, names: list[str], kind: str, suffix: str = "")
     aggs = []
     for i, (a, b) in enumerate(pairs):
         both = x[a].isNotNull() & x[b].isNotNull()
-        aggs.append(F.struct(F.corr(x[a], x[b]).alias("value"), F.count(F.when(both, 1)).alias("n")).alias(f"s{i}"))
+        u, v = F.when(both, x[a]), F.when(both, x[b])
+        spread = F.stddev_pop(u) * F.stddev_pop(v)  # zero for a constant column: no correlation
+        value = F.when(spread > 0, F.covar_pop(u, v) / spread)
+        aggs.append(F.struct(value.alias("value"), F.count(u).alias("n")).alias(f"s{i}"))
     rows = df.agg(*aggs).select(
         F.explode(
             F.array(
@@ -36,9 +39,9 @@ def _correlations(df: DataFrame, names: list[str], kind: str, suffix: str = "")
             )
         ).alias("p")
     ).select("p.*")
-    value = F.greatest(F.least(F.col("value"), F.lit(1.0)), F.lit(-1.0))
+    value = F.when(F.col("value").isNotNull(), F.greatest(F.least(F.col("value"), F.lit(1.0)), F.lit(-1.0)))  # greatest / least skip NULL
     dof = (F.col("n") - 2).cast("double")
-    t = F.when(F.abs("value") < 1.0, F.col("value") * F.sqrt(dof / (1 - F.col("value") * F.col("value")))).otherwise(
+    t = F.when(F.abs("value") < 1.0, F.col("value") * F.sqrt(F.try_divide(dof, 1 - F.col("value") * F.col("value")))).otherwise(
         F.signum("value") * F.lit(float("inf"))
     )
     return (
@@ -106,9 +109,10 @@ def chi2_test(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def corrected_v(n, r, k, chi2):
     """Bias-corrected Cramer's V as a column expression."""
-    phi = F.greatest(F.lit(0.0), chi2 / n - (k - 1) * (r - 1) / (n - 1))
-    rc = r - (r - 1) * (r - 1) / (n - 1)
-    kc = k - (k - 1) * (k - 1) / (n - 1)
+    m = n - 1
+    phi = F.greatest(F.lit(0.0), chi2 / n - F.try_divide((k - 1) * (r - 1), m))
+    rc = r - F.coalesce(F.try_divide((r - 1) * (r - 1), m), F.lit(0.0))
+    kc = k - F.coalesce(F.try_divide((k - 1) * (k - 1), m), F.lit(0.0))
     small = F.least(rc - 1, kc - 1)
     return F.when(small == 0, 0.0).otherwise(F.sqrt(phi / small))
 
@@ -157,7 +161,7 @@ def correlation_ratio(df: DataFrame, cats: list[str] | None = None, nums: list[s
     one = F.col("k") < 2
     ssb = F.greatest(F.col("ssb"), F.lit(0.0))
     within = F.greatest(F.col("sst") - ssb, F.lit(0.0))
-    f = F.when(one, 0.0).when(within > 0, (ssb / df1) / (within / df2))
+    f = F.when(one, 0.0).when(within > 0, F.try_divide(F.try_divide(ssb, df1), F.try_divide(within, df2)))
     value = F.when(one, 0.0).when(F.col("sst") > 0, F.sqrt(ssb / F.col("sst")))
     return s.select(
         "var_1", "var_2", F.lit("correlation_ratio").alias("kind"), value.alias("value"), f.alias("stat"), df1.alias("df1"), df2.alias("df2")

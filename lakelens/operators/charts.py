@@ -168,7 +168,7 @@ def group_means(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     per = ok.groupBy(text(df, group).alias("group")).agg(*[F.avg(number(df, c)).alias(c) for c in columns])
     long = per.unpivot(["group"], [col(c) for c in columns], "variable", "mean")
     totals = long.groupBy("variable").agg(F.sum("mean").alias("t"))
-    return long.join(totals, "variable").select("group", "variable", "mean", (100 * F.col("mean") / F.col("t")).alias("pct"))
+    return long.join(totals, "variable").select("group", "variable", "mean", F.try_divide(100 * F.col("mean"), F.col("t")).alias("pct"))
 
 
 def overall_means(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -507,7 +507,7 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return t.select(
         corrected_v(n, F.col("r"), F.col("k"), F.greatest(n * (F.col("q") - 1), F.lit(0.0))).alias("CramersV"),
         F.when(F.col("tk") > 0, F.col("tk") / F.sqrt(F.col("pa") * F.col("pb"))).otherwise(0.0).alias("Fowlkes-Mallows"),
-        ((total + 2 * F.col("tk") - F.col("pa") - F.col("pb")) / total).alias("RandScore"),
+        F.coalesce(F.try_divide(total + 2 * F.col("tk") - F.col("pa") - F.col("pb"), total), F.lit(1.0)).alias("RandScore"),
         F.col("c").alias("Completeness"),
         F.col("h").alias("Homogeneity"),
         F.when(F.col("h") + F.col("c") > 0, 2 * F.col("h") * F.col("c") / (F.col("h") + F.col("c"))).otherwise(0.0).alias("V-Measure"),

@@ -53,12 +53,12 @@ def threshold_table(df: DataFrame, y: str, score_of: dict[object, Column], micro
 
 
 def roc_curve(points: DataFrame) -> DataFrame:
-    return points.select("class", "score", (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
+    return points.select("class", "score", F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
 
 
 def roc_auc(points: DataFrame) -> DataFrame:
     """(class, auc); trapezoid area from each score's own step, no neighbour needed. Adds 'macro'."""
-    step = F.col("neg") / F.col("N") * ((F.col("tp") - F.col("pos") / 2) / F.col("P"))
+    step = F.try_divide("neg", "N") * F.try_divide(F.col("tp") - F.col("pos") / 2, F.col("P"))
     each = points.groupBy("class").agg(F.sum(step).alias("auc"))
     macro = each.where("class <> 'micro'").agg(F.lit("macro").alias("class"), F.avg("auc").alias("auc"))
     return each.unionByName(macro)
@@ -66,12 +66,12 @@ def roc_auc(points: DataFrame) -> DataFrame:
 
 def precision_recall_curve(points: DataFrame) -> DataFrame:
     return points.select(
-        "class", "score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("P")).alias("recall")
+        "class", "score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "P").alias("recall")
     )
 
 
 def average_precision(points: DataFrame) -> DataFrame:
-    return points.groupBy("class").agg(F.sum(F.col("pos") / F.col("P") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("average_precision"))
+    return points.groupBy("class").agg(F.sum(F.try_divide("pos", "P") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("average_precision"))
 
 
 def iso_f1(spark, levels=(0.2, 0.4, 0.6, 0.8), steps: int = 100) -> DataFrame:
@@ -95,13 +95,13 @@ def calibration(df: DataFrame, positive: Column, score: Column, bins: int = 5) -
 def gain_curve(points: DataFrame) -> DataFrame:
     """(class, score, share, gain, lift): positives found in the top share of the rows."""
     share = (F.col("tp") + F.col("fp")) / (F.col("P") + F.col("N"))
-    gain = F.col("tp") / F.col("P")
+    gain = F.try_divide("tp", "P")
     return points.select("class", "score", share.alias("share"), gain.alias("gain"), (gain / share).alias("lift"))
 
 
 def ks_statistic(points: DataFrame) -> DataFrame:
     """(class, ks, threshold): widest gap of the two class score distributions."""
-    gap = F.abs(F.col("tp") / F.col("P") - F.col("fp") / F.col("N"))
+    gap = F.abs(F.try_divide("tp", "P") - F.try_divide("fp", "N"))
     g = points.withColumn("gap", gap)
     return g.groupBy("class").agg(F.max("gap").alias("ks"), F.max_by("score", F.struct("gap", "score")).alias("threshold"))
 
@@ -120,7 +120,7 @@ def threshold_curve(points: DataFrame, steps: int = 100) -> DataFrame:
         "class",
         (F.col("k") / steps).alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        (F.col("tp") / F.col("P")).alias("recall"),
+        F.try_divide("tp", "P").alias("recall"),
         (2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("P"))).alias("f1"),
         ((F.col("tp") + F.col("fp")) / (F.col("P") + F.col("N"))).alias("queue_rate"),
     )
@@ -139,7 +139,7 @@ def prediction_error(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.agg(
         F.regr_slope(q, t).alias("slope"),
         F.regr_intercept(q, t).alias("intercept"),
-        (1 - F.avg((t - q) * (t - q)) / F.var_pop(t)).alias("r2"),
+        (1 - F.try_divide(F.avg((t - q) * (t - q)), F.var_pop(t))).alias("r2"),
         F.count("*").alias("n"),
     )
 

@@ -21,7 +21,7 @@ def regression_scores(df: DataFrame, y: str, p: str, by: list[str] | None = None
         F.avg(sq).alias("MSE"),
         F.sqrt(F.avg(sq)).alias("RMSE"),
         F.when(F.min(F.least(t, q)) > -1, F.sqrt(F.avg(F.pow(F.log1p(t) - F.log1p(q), F.lit(2.0))))).alias("RMSLE"),
-        (1 - F.avg(sq) / F.var_pop(t)).alias("R2"),
+        (1 - F.try_divide(F.avg(sq), F.var_pop(t))).alias("R2"),
         F.avg(F.when(t != 0, F.abs(t - q) / t)).alias("MAPE"),
     ]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
@@ -99,7 +99,7 @@ def classification_scores(df: DataFrame, y: str, p: str, average: str = "macro",
         F.sum(F.when(t > 0, tp / t)).alias("tpr"),
         F.collect_list(F.when(t > 0, F.struct((q - tp).alias("fp"), t.alias("t")))).alias("__fp"),
     )
-    fpr = F.aggregate("__fp", F.lit(0.0), lambda acc, e: acc + e["fp"] / (F.col("s") - e["t"]))
+    fpr = F.aggregate("__fp", F.lit(0.0), lambda acc, e: acc + F.coalesce(F.try_divide(e["fp"], F.col("s") - e["t"]), F.lit(0.0)))
     s = F.col("s")
     po, pe = F.col("c") / s, F.col("tq") / (s * s)
     mcc_den = F.sqrt((s * s - F.col("qq")) * (s * s - F.col("tt")))
@@ -143,8 +143,8 @@ def corrected_t_test(first: DataFrame, second: DataFrame, metric: str, folds: in
     pair = first.select(*on, F.col(metric).alias("a")).join(second.select(*on, F.col(metric).alias("b")), list(on))
     s = pair.agg(F.avg(F.col("a") - F.col("b")).alias("d"), F.var_pop(F.col("a") - F.col("b")).alias("v"), F.count("*").alias("pairs"))
     size = F.lit(n).cast("double") if n is not None else F.col("pairs").cast("double")
-    t = F.col("d") / F.sqrt(F.col("v") * (1 / size + F.lit(1.0 / (folds - 1))))
-    return s.select(t.alias("t_statistic"), (size - 1).alias("df"), (F.abs(2 * t) / F.sqrt(size - 1)).alias("cohens_d")).withColumn(
+    t = F.try_divide(F.col("d"), F.sqrt(F.col("v") * (1 / size + F.lit(1.0 / (folds - 1)))))
+    return s.select(t.alias("t_statistic"), (size - 1).alias("df"), F.try_divide(F.abs(2 * t), F.sqrt(size - 1)).alias("cohens_d")).withColumn(
         "p_value", t_two_sided_udf("t_statistic", "df")
     )
 

@@ -111,7 +111,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return groups.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates"),
-    ).withColumn("pct", 100 * F.col("n_duplicates") / F.col("n_rows"))
+    ).withColumn("pct", F.try_divide(100.0 * F.col("n_duplicates"), F.col("n_rows")))
 
 
 def stack_results(frames: list[DataFrame]) -> DataFrame:

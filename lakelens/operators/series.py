@@ -77,11 +77,11 @@ def decompose(df: DataFrame, ts: str, value: str, period: int, keys: list[str] |
         total = (total + F.sum("observed").over(inner)) / 2
     own = F.floor(F.col("pos") / max(block, 4 * period)) == F.col("blk")
     t = halo.withColumn("trend", F.when(F.count("observed").over(full) == width, total / period)).where(own).drop("blk")
-    t = t.withColumn("phase", F.pmod(F.col("pos"), F.lit(period))).withColumn("ratio", F.col("observed") / F.col("trend"))
+    t = t.withColumn("phase", F.pmod(F.col("pos"), F.lit(period))).withColumn("ratio", F.try_divide("observed", "trend"))
     phases = t.groupBy(*by, "phase").agg(F.avg("ratio").alias("m"))
     norm = phases.groupBy(*by).agg(F.avg("m").alias("g"))
-    seasonal = phases.join(norm, by).select(*by, "phase", (F.col("m") / F.col("g")).alias("seasonal"))
-    return t.join(seasonal, [*by, "phase"]).select(*keys, "ts", "observed", "trend", "seasonal", (F.col("observed") / F.col("trend") / F.col("seasonal")).alias("resid"))
+    seasonal = phases.join(norm, by).select(*by, "phase", F.try_divide("m", "g").alias("seasonal"))
+    return t.join(seasonal, [*by, "phase"]).select(*keys, "ts", "observed", "trend", "seasonal", F.try_divide(F.try_divide("observed", "trend"), F.col("seasonal")).alias("resid"))
 
 
 def _lag_sums(x: DataFrame, by: list[str], lags: int, fn, block: int) -> pd.DataFrame:

@@ -55,9 +55,7 @@ def exact_quantiles(
                 bracket[c, j] = (q[j], q[j + len(probs)])
     width = {k: 2 * eps * n[k[0]] for k in bracket}
     wide = [k for k in bracket if width[k] > max_inside and bracket[k][0] < bracket[k][1]]
-    while wide:
-        _refine(df, x, n, probs, bracket, width, wide, accuracy)
-        wide = [k for k in wide if width[k] > max_inside and bracket[k][0] < bracket[k][1]]
+    _narrow(df, x, n, probs, bracket, width, wide, accuracy, max_inside)
     result, failed = _inside(df, x, n, probs, bracket)
     if failed:  # a sketch outside its stated error: fall back to the full range, refined by counting
         ends = df.agg(*[F.struct(F.min(x[c]), F.max(x[c])).alias(f"e{i}") for i, c in enumerate(columns)]).first()
@@ -65,10 +63,7 @@ def exact_quantiles(
             bracket[c, j] = tuple(ends[f"e{columns.index(c)}"])
         for k in failed:
             width[k] = n[k[0]]
-        wide = [k for k in failed if width[k] > max_inside]
-        while wide:
-            _refine(df, x, n, probs, bracket, width, wide, accuracy)
-            wide = [k for k in wide if width[k] > max_inside and bracket[k][0] < bracket[k][1]]
+        _narrow(df, x, n, probs, bracket, width, list(failed), accuracy, max_inside)
         again, bad = _inside(df, x, n, probs, {k: bracket[k] for k in failed})
         if bad:
             raise RuntimeError(f"quantile bracket could not be confirmed for {bad}")
@@ -76,27 +71,45 @@ def exact_quantiles(
     return {c: [result.get((c, j)) for j in range(len(probs))] for c in columns}
 
 
+def _narrow(df, x, n, probs, bracket, width, keys, accuracy, max_inside, rounds=40):
+    while keys and rounds:
+        _refine(df, x, n, probs, bracket, width, keys, accuracy)
+        keys = [k for k in keys if width[k] > max_inside and bracket[k][0] < bracket[k][1]]
+        rounds -= 1
+
+
 def _refine(df, x, n, probs, bracket, width, keys, accuracy):
-    """Narrow brackets: count below and inside, then sketch only the inside."""
+    """Narrow brackets: count the rows strictly inside, then sketch only those.
+
+    A value with very many rows becomes an end of its bracket, where copies do not count, so the inside
+    shrinks by the sketch error in every round whatever the skew.
+    """
     aggs = []
     for i, k in enumerate(keys):
         lo, hi = bracket[k]
-        aggs += [
-            F.count(F.when(x[k[0]] < lo, 1)).alias(f"b{i}"),
-            F.count(F.when(x[k[0]].between(lo, hi), 1)).alias(f"m{i}"),
-        ]
+        v = x[k[0]]
+        aggs += [F.count(F.when(v <= lo, 1)).alias(f"b{i}"), F.count(F.when((v > lo) & (v < hi), 1)).alias(f"m{i}")]
     counts = df.agg(*aggs).first()
-    aggs, eps = [], MARGIN / accuracy
+    aggs, wanted, eps = [], {}, MARGIN / accuracy
     for i, k in enumerate(keys):
         lo, hi = bracket[k]
-        below, m = counts[f"b{i}"], max(counts[f"m{i}"], 1)
-        rank = probs[k[1]] * (n[k[0]] - 1)
-        ps = [_clip((math.floor(rank) - below) / m - eps), _clip((math.floor(rank) + 2 - below) / m + eps)]
-        aggs.append(F.percentile_approx(F.when(x[k[0]].between(lo, hi), x[k[0]]), ps, accuracy).alias(f"q{i}"))
-        width[k] = 2 * eps * m + 2
+        below, m = counts[f"b{i}"], counts[f"m{i}"]
+        width[k] = m
+        if m:
+            rank = math.floor(probs[k[1]] * (n[k[0]] - 1))
+            wanted[k] = ((rank - below) / m - eps, (rank + 2 - below) / m + eps)
+            inner = F.when((x[k[0]] > lo) & (x[k[0]] < hi), x[k[0]])
+            aggs.append(F.percentile_approx(inner, [_clip(p) for p in wanted[k]], accuracy).alias(f"q{i}"))
+    if not aggs:
+        return
     found = df.agg(*aggs).first()
     for i, k in enumerate(keys):
-        bracket[k] = tuple(found[f"q{i}"])
+        if k in wanted:
+            lo, hi = bracket[k]
+            low, high = wanted[k]
+            q = found[f"q{i}"]
+            bracket[k] = (q[0] if low > 0 else lo, q[1] if high < 1 else hi)
+            width[k] = min(width[k], 2 * eps * width[k] + 2)
 
 
 def _inside(df, x, n, probs, bracket):
@@ -108,7 +121,7 @@ def _inside(df, x, n, probs, bracket):
         lo, hi = bracket[k]
         v = x[k[0]]
         aggs += [
-            F.percentile(F.greatest(F.lit(lo), F.least(F.lit(hi), v)), probs[k[1]]).alias(f"v{i}"),
+            F.percentile(F.when(v.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), v))), probs[k[1]]).alias(f"v{i}"),
             F.count(F.when(v < lo, 1)).alias(f"b{i}"),
             F.count(F.when(v <= hi, 1)).alias(f"h{i}"),
         ]
