@@ -89,7 +89,7 @@ def require_binary(df: DataFrame, y: str) -> None:
 def calibration(df: DataFrame, positive: Column, score: Column, bins: int = 5) -> DataFrame:
     """(bin, n, mean_predicted, observed) over uniform bins of the score."""
     b = F.least(F.floor(score * bins), F.lit(bins - 1)).cast("int")
-    return df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_predicted"), F.avg(positive.cast("double")).alias("observed"))
+    return df.where(score.isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_predicted"), F.avg(positive.cast("double")).alias("observed"))
 
 
 def gain_curve(points: DataFrame) -> DataFrame:

@@ -158,7 +158,8 @@ def knn_join(
     table = distinct.join(lists, "qid").select("v", "n", "near")
     rows = lookup(q, cut(table), "v", "n", BROADCAST_VECTORS)
     own = F.filter("near", lambda e: e["id"] != F.col("id")) if same else F.col("near")
-    return rows.select(F.col("id").alias(id_col), F.posexplode(F.slice(own, 1, k)).alias("i", "e")).select(
+    rows = rows.withColumn("near", F.slice(own, 1, k))
+    return rows.select(F.col("id").alias(id_col), F.posexplode("near").alias("i", "e")).select(
         id_col, (F.col("i") + 1).alias("rank"), F.col("e.id").alias("neighbour"), F.col("e.distance").alias("distance")
     )
 
