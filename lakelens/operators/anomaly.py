@@ -208,7 +208,8 @@ def isolation_forest(df: DataFrame, id_col: str, features: str = "features", tre
     share = min(1.0, 1.5 * sample / max(n, 1) + 20.0 / max(n, 1))
     draw = lambda t: F.pmod(F.xxhash64(col(id_col).cast("string"), t), F.lit(2**31)) / float(2**31)
     picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share)
-    some = df.select(col(id_col).alias("id"), as_array(df, features).alias("v"), F.explode(picks).alias("tree"))
+    marked = df.withColumn("__picks", picks)
+    some = marked.select(col(id_col).alias("id"), as_array(df, features).alias("v"), F.explode("__picks").alias("tree"))
     w = Window.partitionBy("tree").orderBy(F.xxhash64(F.col("id").cast("string"), "tree"), "id")  # about 1.5 samples per tree
     chosen = some.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample)
 
