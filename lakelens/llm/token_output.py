@@ -31,44 +31,94 @@ class _Codes(dict):
         return code
 
 
+# Chunks that the tokenizer's own pattern cuts into pieces as below; all others go to it whole.
+_PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+class _Table:
+    """Numbered strings and the ids of each, in flat arrays."""
+
+    def __init__(self):
+        self.codes, self.lengths, self.starts, self.ids = _Codes(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of the strings that were new, in the order of their numbers."""
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.codes.new = []
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.codes.__getitem__, strings), np.int64, len(strings))
+
+    def gather(self, codes: np.ndarray) -> np.ndarray:
+        return self.ids[ranges(self.starts[codes], self.lengths[codes])]
+
+
 class ChunkEncoder:
-    """Encodes texts with a tokenizers file whose tokens never cross white space.
+    """Encodes texts with a tokenizers file whose tokens never cross white space, in lower case with word ends.
 
-    The ids of a text are the ids of its white-space separated chunks, so each distinct chunk goes through
-    the tokenizer once while it is remembered; ``most`` chunks are remembered, then the memory starts anew.
+    The ids of a text are the ids of its white-space separated chunks, and those of a chunk the ids of its
+    pieces, so each distinct piece goes through the tokenizer once while it is remembered; ``most``
+    chunks and pieces are remembered, then the memory starts anew.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.reset()
-
-    def reset(self):
-        self.codes, self.lengths, self.ids, self.starts = _Codes(), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def learn(self):
-        new, self.codes.new = self.codes.new, []
-        parts = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.array([len(p) for p in parts], np.int64)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(parts), np.uint32, int(lengths.sum()))])
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.chunks, self.pieces = _Table(), _Table()
+
+    def plain(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        lengths = np.array([len(f) for f in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum())), lengths
+
+    def learn_pieces(self) -> None:
+        """New pieces go in all at once, set apart by blanks; a piece ends with its only word-end token."""
+        new = self.pieces.codes.new
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.int64)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(new):
+            self.pieces.add(ids, np.diff(ends, prepend=0))
+        else:
+            self.pieces.add(*self.plain(new))
+
+    def learn(self) -> None:
+        new = self.chunks.codes.new
+        if len(self.pieces.codes) > self.most:
+            self.pieces = _Table()
+        cuts = [_PIECES.findall(c.lower()) if _PLAIN.fullmatch(c) else [] for c in new]
+        codes = self.pieces.numbers(list(chain.from_iterable(cuts)))
+        if self.pieces.codes.new:
+            self.learn_pieces()
+        per_chunk = np.array([len(c) for c in cuts], np.int64)
+        before = np.concatenate([[0], np.cumsum(self.pieces.lengths[codes])])
+        ends = np.cumsum(per_chunk)
+        lengths = before[ends] - before[ends - per_chunk]
+        ids, odd = self.pieces.gather(codes), np.flatnonzero(per_chunk == 0)
+        if len(odd):  # the odd ones' ids go behind the others
+            odd_ids, odd_lengths = self.plain([new[i] for i in odd])
+            starts = np.cumsum(lengths) - lengths
+            starts[odd], lengths[odd] = len(ids) + np.cumsum(odd_lengths) - odd_lengths, odd_lengths
+            ids = np.concatenate([ids, odd_ids])[ranges(starts, lengths)]
+        self.chunks.add(ids, lengths)
 
     def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids by text); ``end_id`` closes each text."""
-        if len(self.codes) > self.most:
-            self.reset()
-        code, found = self.codes.__getitem__, []
-        for t in texts:
-            parts = t.split() if not _SEPARATORS.search(t) else [t]
-            found.append(np.fromiter(map(code, parts), np.int64, len(parts)))
-        if self.codes.new:
+        if len(self.chunks.codes) > self.most:
+            self.chunks = _Table()
+        found = [self.chunks.numbers(t.split() if not _SEPARATORS.search(t) else [t]) for t in texts]
+        if self.chunks.codes.new:
             self.learn()
         codes = np.concatenate([*found, np.zeros(0, np.int64)])
-        ids = self.ids[ranges(self.starts[codes], self.lengths[codes])]
+        ids = self.chunks.gather(codes)
         chunks = np.array([len(f) for f in found], np.int64)
-        before = np.concatenate([[0], np.cumsum(self.lengths[codes])])
+        before = np.concatenate([[0], np.cumsum(self.chunks.lengths[codes])])
         ends = np.cumsum(chunks)
         counts = before[ends] - before[ends - chunks]
         if end_id is None:
