@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("token_output", "mixing", "warc")
+MODULES = ("token_output", "spot_signatures", "secrets", "decontamination", "mixing", "warc")
 
 
 def load():
