@@ -13,7 +13,6 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
-BROADCAST_DIGESTS = 20_000
 
 
 def base32_of_hex(digest: Column, length: int = 40) -> Column:
@@ -42,14 +41,18 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     others revisit it; smaller ones are all responses. Rows that repeat both page_id and payload are all
     responses. A null page_id is never the smallest, unless the payload has no other. Control characters
     and blanks of a URL become underscores, a null URL is empty. A payload that a third of all pages share
-    is one row of ``payloads``; its digest goes to the pages by broadcast (``lookup``).
+    is one row of ``payloads``; its digest goes to the pages by broadcast, the others by shuffle (``lookup``).
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     base = pages.select("page_id", "url", payload.alias("payload"))
-    base = base.withColumns({"n": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256), "sha1": F.sha1("payload")})
-    firsts = base.groupBy("digest", "sha1", "n").agg(F.min("page_id").alias("first_id"), F.count("*").alias("refs"))
-    firsts = firsts.withColumn("address", F.concat_ws("-", "digest", "sha1", F.col("n").cast("string"))).select("address", "first_id", "refs", F.col("refs").alias("weight"))
-    rows = lookup(base.withColumn("address", F.concat_ws("-", "digest", "sha1", F.col("n").cast("string"))), firsts, "address", "weight", BROADCAST_DIGESTS)
+    base = base.withColumns({"n": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
+    base = base.withColumn("address", F.concat_ws("-", F.sha2("payload", 256), "sha1", F.col("n").cast("string")))
+    # copies are dropped in each task, so each payload moves about once; the smallest page brings the bytes
+    smallest = F.struct(F.col("page_id").isNull(), "page_id")
+    stored = base.groupBy("address").agg(F.min("page_id").alias("first_id"), F.count("*").alias("refs"), F.min_by("payload", smallest).alias("payload"))
+    stored.write.parquet(f"{path}/payloads")
+    firsts = pages.sparkSession.read.parquet(f"{path}/payloads").select("address", "first_id", F.col("refs").alias("weight"))
+    rows = lookup(base.drop("payload"), firsts, "address", "weight", 0)
     own = F.col("page_id").eqNullSafe(F.col("first_id")) | (F.col("n") < min_bytes)
     rows = rows.withColumn("own", own)
     head = F.concat_ws(
@@ -70,9 +73,6 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     kind = dict(pages.dtypes)["page_id"]
     headers = rows.select(F.concat(head, F.lit(END), F.lit(HTTP)).alias("header"))
     headers.write.parquet(f"{path}/headers")
-    # the smallest page of each payload brings the bytes; rows that repeat it are few
-    stored = rows.where(F.col("page_id").eqNullSafe(F.col("first_id"))).select("address", "refs", "page_id", "payload").dropDuplicates(["address"])
-    stored.select("address", "refs", "payload").write.parquet(f"{path}/payloads")
     pages.sparkSession.createDataFrame([(kind,)], "page_id_type string").coalesce(1).write.parquet(f"{path}/about")
 
 
@@ -109,7 +109,7 @@ def read_records(spark: SparkSession, path: str, rows_per_copy: int = 10_000) ->
     stored = spark.read.parquet(f"{path}/payloads")
     copies = F.ceil(F.col("refs") / rows_per_copy)
     spread = stored.select("address", copies.alias("copies"), F.col("refs").alias("weight"))
-    heads = lookup(read_headers(spark, path), spread, "address", "weight", BROADCAST_DIGESTS)
+    heads = lookup(read_headers(spark, path), spread, "address", "weight", 0)
     heads = heads.withColumn("copy", F.pmod(F.xxhash64("header"), F.col("copies")))
     stored = stored.select("address", "payload", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
     joined = heads.join(stored, ["address", "copy"])
@@ -120,7 +120,7 @@ def read_records(spark: SparkSession, path: str, rows_per_copy: int = 10_000) ->
 def archive_index(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to), from the archive alone."""
     facts = payload_facts(spark, path).withColumn("weight", F.col("refs")).drop("refs")
-    rows = lookup(read_headers(spark, path).drop("header"), facts, "address", "weight", BROADCAST_DIGESTS)
+    rows = lookup(read_headers(spark, path).drop("header"), facts, "address", "weight", 0)
     same = F.when(F.col("header_digest") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("header and payload digests differ")))
     return rows.select("page_id", "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to")
 
