@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("token_output", "spot_signatures", "secrets", "toxicity", "decontamination", "mixing", "warc")
+MODULES = ("token_output", "spot_signatures", "secrets", "toxicity", "decontamination", "mixing", "warc", "quality")
 
 
 def load():
