@@ -233,13 +233,13 @@ def buckets_of(sets: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links, n_text_links) for every row of ``docs``.
+    """(doc_id, class_id, n_links, n_text_links, t, class_key) for every row of ``docs``.
 
     Two texts are linked if the Jaccard similarity of their shingle sets is at least 0.8; equal texts are always
     linked. A class is what links connect, named by its smallest doc_id. ``n_links`` counts the other
     documents that a document is linked with (rows, copies included), ``n_text_links`` the different texts. Texts
     without words, null ones included, are linked with equal texts only. Rows that repeat a doc_id
-    are documents of their own. Candidates come from ``buckets_of``; links are exact, and within a class all
+    are documents of their own; ``t`` is the MD5 of the text and ``class_key`` names the class also where ids are null. Candidates come from ``buckets_of``; links are exact, and within a class all
     are counted, block by block. Work grows with the square of the number of *different* texts only within
     classes and dense buckets; copies of a text are one set throughout.
     """
@@ -281,7 +281,7 @@ def classes(docs: DataFrame) -> DataFrame:
     blocks = in_blocks(members.select("key", "t", "copies"), sizes.drop("class_id"))
     links = grouped(blocks.select("bucket", "t", "side", "copies").join(full, "t")).mapInArrow(degrees, "t string, texts long, docs long")
     links = links.groupBy("t").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    named = comp.join(sizes.select("key", "class_id"), "key").select("t", "class_id")
+    named = comp.join(sizes.select("key", "class_id"), "key").select("t", "key", "class_id")
     facts = counts.join(named, "t", "left").join(links, "t", "left")
     facts = facts.select(
         "t",
@@ -289,19 +289,20 @@ def classes(docs: DataFrame) -> DataFrame:
         (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
         F.col("copies").alias("weight"),
+        F.coalesce("key", "t").alias("class_key"),
     )
-    return lookup(rows.select("doc_id", "t"), facts, "t", "weight", 0).select("doc_id", "class_id", "n_links", "n_text_links", "t")
+    return lookup(rows.select("doc_id", "t"), facts, "t", "weight", 0).select("doc_id", "class_id", "n_links", "n_text_links", "t", "class_key")
 
 
 @query("op8_chosen_path")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    return classes(documents(spark, folder)).drop("t")
+    return classes(documents(spark, folder)).drop("t", "class_key")
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: of each class one document stays, the one with the smallest doc_id."""
-    found = classes(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "t").distinct().hint("merge")
+    first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "t")
+    keep = classes(docs).groupBy("class_key").agg(F.min(first).alias("f")).select("f.doc_id", "f.t").hint("merge")
     left = docs.withColumn("__t", F.md5(F.coalesce("text", F.lit(""))))
     rows = left.join(keep, left["doc_id"].eqNullSafe(keep["doc_id"]) & (left["__t"] == keep["t"]), "left_semi")
     return rows.dropDuplicates(["doc_id", "__t"]).select(*docs.columns)
