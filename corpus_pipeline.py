@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelens.llm import decontamination, mixing, quality, token_output
+from lakelens.llm import chosen_path, decontamination, mixing, quality, token_output
 from lakelens.plans.session import checkpoint_root
 
 STAGES = [
     ("quality classifier", quality.stage),
+    ("n-gram Jaccard join", chosen_path.stage),
     ("benchmark decontamination", decontamination.stage),
     ("mixing sources to target weights", mixing.stage),
     ("token-ID output", token_output.stage),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("token_output", "spot_signatures", "secrets", "toxicity", "decontamination", "mixing", "warc", "quality")
+MODULES = ("suffix_dedup", "token_output", "spot_signatures", "secrets", "toxicity", "decontamination", "mixing", "chosen_path", "warc", "quality")
 
 
 def load():
