@@ -69,3 +69,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def packed(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """(``names`` and one struct of all other columns, the columns that restore ``docs``): other columns clash with nothing."""
+    rest = [c for c in docs.columns if c not in names]
+    row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.lit(None).cast("int")
+    back = [F.col(c) if c in names else F.col("__rest")[f"c{rest.index(c)}"].alias(c) for c in docs.columns]
+    return docs.select(*[c for c in docs.columns if c in names], row.alias("__rest")), back

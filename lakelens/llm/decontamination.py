@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.llm.base import query
+from lakelens.llm.base import packed, query
 from lakelens.plans.session import cut
 from lakelens.sources.io import table
 
@@ -137,4 +137,5 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: documents without any window of the benchmark."""
-    return decontaminate(docs, table(spark, folder, "benchmark")).where("n_hit = 0").select(*docs.columns)
+    rows, back = packed(docs, ("doc_id", "text"))
+    return decontaminate(rows, table(spark, folder, "benchmark")).where("n_hit = 0").select(*back)

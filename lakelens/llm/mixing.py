@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakelens.llm.base import query
+from lakelens.llm.base import packed, query
 from lakelens.plans.session import cut, lookup
 from lakelens.sources.io import table
 
@@ -112,6 +112,6 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it."""
-    names = docs.columns
-    rows = mix(docs)
-    return rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names)
+    rows, back = packed(docs, ("doc_id", "text", "source"))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return mix(rows).where("copies > 0").select("*", copy).select(*back)

@@ -108,7 +108,8 @@ def near_pairs(prints: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFr
     them a set meets others by its rarest signatures only: of n signatures any partner shares one of the
     rarest n - ceil(least * n) + 1, so frequent signatures are never joined. Empty sets have no pairs.
     """
-    prints = prints.select("doc_id", "signatures", "fingerprint").withColumn("id", F.substring(F.sha2("fingerprint", 256), 1, 32))
+    # written first: a filter on the signatures would otherwise be pushed into the scan and compute them for each word
+    prints = cut(prints.select("doc_id", "signatures", "fingerprint")).withColumn("id", F.substring(F.sha2("fingerprint", 256), 1, 32))
     sets = cut(prints.select("id", "signatures").where(F.size("signatures") > 0).dropDuplicates(["id"]))
     counts = sets.select(F.explode("signatures").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
     ranked = sets.select("id", F.size("signatures").alias("size"), F.explode("signatures").alias("s")).join(counts, "s")
