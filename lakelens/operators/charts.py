@@ -14,6 +14,7 @@ from lakelens.operators.profile import report
 from lakelens.operators.reshape import contingency, missing_indicators
 from lakelens.plans.quantiles import exact_quantiles, exact_quantiles_by
 from lakelens.plans.ranking import running_totals, value_counts_long
+from lakelens.plans.session import lookup
 
 
 def category_chart(df: DataFrame, category: str, value: str | None = None) -> DataFrame:
@@ -49,27 +50,25 @@ def histogram(df: DataFrame, column: str, group: str | None = None) -> DataFrame
     )
 
 
-KDE_VALUES = 200_000  # distinct values up to which the density is exact
+KDE_CELLS = 50  # cells by bandwidth
 
 
 def density_curve(df: DataFrame, column: str, group: str | None = None, points: int = 500) -> DataFrame:
     """Gaussian kernel density with Scott bandwidth n^(-1/5) sd: (group, i, x, density).
 
-    Equal values are merged first. With very many distinct values they are pooled into cells of 1/50
-    bandwidth, each represented by its mean; the work is then points x cells instead of points x rows.
+    Values are pooled into cells of 1/50 bandwidth, each represented by its mean, at every size: the work is
+    points x cells instead of points x rows. A cell's mean has no first-order error, so the curve is off
+    by at most (1/50)^2 / 8, 0.005 %, of the peak of the kernel.
     """
     x = number(df, column)
     g = text(df, group) if group else F.lit("Density")
     base = df.select(g.alias("group"), x.alias("x")).where("x IS NOT NULL AND group IS NOT NULL")
     st = base.groupBy("group").agg(
-        F.count("*").alias("total"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.approx_count_distinct("x").alias("d")
+        F.count("*").alias("total"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )
-    st = st.withColumn("h", F.pow(F.col("total").cast("double"), F.lit(-0.2)) * F.col("sd")).where("h > 0").persist()
-    joined = base.join(F.broadcast(st), "group")
-    if (st.agg(F.max("d")).first()[0] or 0) <= KDE_VALUES:
-        key = F.col("x")
-    else:
-        key = F.floor((F.col("x") - F.col("lo")) / (F.col("h") / 50)).cast("double")
+    st = st.withColumn("h", F.pow(F.col("total").cast("double"), F.lit(-0.2)) * F.col("sd")).where("h > 0")
+    joined = lookup(base, st.withColumn("weight", F.col("total")), "group", "weight")
+    key = F.floor((F.col("x") - F.col("lo")) / (F.col("h") / KDE_CELLS)).cast("double")
     cells = joined.groupBy("group", key.alias("k")).agg(
         F.count("*").alias("n"), F.avg("x").alias("m"), *[F.first(c).alias(c) for c in ("total", "h", "lo", "hi")]
     )

@@ -74,9 +74,10 @@ def permutation_shap(model, df: DataFrame, id_col: str, names: list[str], backgr
 
     Rows are expanded to (permutation, prefix, background row) on the executors, scored by ONE transform,
     averaged per prefix, and neighbouring prefixes are subtracted. For each row the values add up to
-    f(x) - mean f(background).
+    f(x) - mean f(background). The background is the ``max_background`` vectors with the smallest hashes: a
+    sample that does not depend on their order or size.
     """
-    bg = np.array([r["v"] for r in background.select(as_array(background, features).alias("v")).orderBy("v").limit(max_background).collect()])
+    bg = np.array([r["v"] for r in background.select(as_array(background, features).alias("v")).orderBy(F.xxhash64("v"), "v").limit(max_background).collect()])
     p = len(names)
     rng = np.random.default_rng(SEED)
     orders = [o for _ in range(permutations) for o in (lambda q: (q, q[::-1]))(rng.permutation(p))]
@@ -104,7 +105,13 @@ def permutation_shap(model, df: DataFrame, id_col: str, names: list[str], backgr
 
 
 def tree_table(model, classification: bool, target: int = 0) -> list[tuple[float, dict]]:
-    """(weight, nodes) of every tree of a fitted tree model, read from the saved model's node table."""
+    """(weight, nodes) of every tree of a fitted tree model, read from the saved model's node table.
+
+    A node is (feature, threshold, left categories or None, left, right, value, cover). The impurity
+    statistics tell what a tree is: class counts in classification trees, whose values are class shares;
+    (count, sum, sum of squares) in regression trees, boosted classifiers included, whose values are predictions. A boosted
+    model adds its trees with their own weights (the margin), all others average them.
+    """
     import uuid
 
     from pyspark.sql import SparkSession
@@ -119,41 +126,66 @@ def tree_table(model, classification: bool, target: int = 0) -> list[tuple[float
     flat = data.select(F.col("treeID") if many else F.lit(0).alias("treeID"), F.col("nodeData.*") if many else F.col("*"))
     rows = flat.collect()  # the nodes of the model itself
     weights = list(getattr(model, "treeWeights", [1.0]))
+    boosted = type(model).__name__.startswith("GBT")
     trees: dict[int, dict] = {}
     for r in rows:
         stats = list(r["impurityStats"])
-        if classification:
+        if classification and not boosted:
             value, cover = stats[target] / sum(stats), sum(stats)
         else:
             value, cover = r["prediction"], stats[0]
         left = r["leftChild"]
-        f, t = (r["split"]["featureIndex"], r["split"]["leftCategoriesOrThreshold"]) if left >= 0 else (-1, [])
-        trees.setdefault(r["treeID"], {})[r["id"]] = (f, t[0] if t else 0.0, left, r["rightChild"], value, cover)
-    total = sum(weights) if (classification or type(model).__name__.startswith("RandomForest")) else 1.0
+        f, t, some = -1, 0.0, None
+        if left >= 0:
+            f, given = r["split"]["featureIndex"], list(r["split"]["leftCategoriesOrThreshold"])
+            if r["split"]["numCategories"] >= 0:
+                some = frozenset(given)
+            else:
+                t = given[0]
+        trees.setdefault(r["treeID"], {})[r["id"]] = (f, t, some, left, r["rightChild"], value, cover)
+    total = 1.0 if boosted else sum(weights)
     return [(weights[i] / total if len(weights) > i else 1.0, trees[i]) for i in sorted(trees)]
 
 
-def _leaf_paths(nodes: dict) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
-    """(leaf value, [(feature, low, high, cover ratio)]): repeated features are merged to one interval."""
+def _leaf_paths(nodes: dict) -> list[tuple[float, list[tuple]]]:
+    """(leaf value, [(feature, low, high, allowed categories or None, excluded categories, cover ratio)]): repeated features are merged."""
     out = []
 
     def walk(i, path):
-        f, t, left, right, value, cover = nodes[i]
+        f, t, some, left, right, value, cover = nodes[i]
         if left < 0:
             out.append((value, [(k, *v) for k, v in path.items()]))
             return
-        for child, lo, hi in ((left, -math.inf, t), (right, t, math.inf)):
-            ratio = nodes[child][5] / cover
-            a, b, z = path.get(f, (-math.inf, math.inf, 1.0))
-            walk(child, {**path, f: (max(a, lo), min(b, hi), z * ratio)})
+        for child, is_left in ((left, True), (right, False)):
+            ratio = nodes[child][6] / cover
+            low, high, only, never, z = path.get(f, (-math.inf, math.inf, None, frozenset(), 1.0))
+            if some is None:
+                low, high = (low, min(high, t)) if is_left else (max(low, t), high)
+            elif is_left:
+                only = some if only is None else only & some
+            else:
+                never = never | some
+            walk(child, {**path, f: (low, high, only, never, z * ratio)})
 
     walk(0, {})
     return out
 
 
+def _meets(x: np.ndarray, low: float, high: float, only: frozenset | None, never: frozenset) -> np.ndarray:
+    ok = (x > low) & (x <= high)
+    if only is not None:
+        ok &= np.isin(x, list(only))
+    if never:
+        ok &= ~np.isin(x, list(never))
+    return ok.astype(float)
+
+
 def tree_shap(model, df: DataFrame, id_col: str, names: list[str], classification: bool = False, target: int = 0, features: str = "features") -> tuple[DataFrame, float]:
     """((id, feature, shap), base value): exact path-dependent attribution of tree models.
 
+    Values and base add up to the prediction of a regression model, to the probability of class ``target``
+    of a classification tree or forest, and to the margin of a boosted classifier.
+
     For one leaf with m path features the value of feature i is
     v (o_i - z_i) sum_k k! (m-1-k)! / m! [t^k] prod_{j != i} (z_j + o_j t), where o_j says whether the row
     meets the condition and z_j is the cover share. It is evaluated for whole Arrow batches at once.
@@ -169,7 +201,7 @@ def tree_shap(model, df: DataFrame, id_col: str, names: list[str], classificatio
                 m = len(path)
                 if not m or value == 0:
                     continue
-                o = np.stack([((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in path])
+                o = np.stack([_meets(x[:, f], *rule) for f, *rule, _ in path])
                 z = np.array([q for *_, q in path])
                 weight = np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)])
                 for i in range(m):

@@ -99,11 +99,12 @@ class ForestImputer(Estimator, _Settings):
             indexers[c] = StringIndexer(inputCol=c, outputCol=f"__ix_{c}", handleInvalid="keep", stringOrderType="alphabetAsc").fit(work)
             work = indexers[c].transform(work)
         stages = []
+        bins = max([64, *(len(m.labels) + 1 for m in indexers.values())])  # a category each, at least
         for _ in range(self.getOrDefault(self.rounds) if need else 0):
             work = cut(work)
             for c in need:
                 data = _vector(work, c, nums, cats).where(~F.col(f"__na_{c}"))
-                common = dict(featuresCol="__x", predictionCol="__p", seed=SEED, maxBins=64)
+                common = dict(featuresCol="__x", predictionCol="__p", seed=SEED, maxBins=bins)
                 if c in nums:
                     if boosted:
                         est = GBTRegressor(labelCol=c, maxIter=10, maxDepth=4, **common)

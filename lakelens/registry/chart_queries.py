@@ -145,7 +145,7 @@ def _(spark, d):
 @query(
     "c3_density",
     """WITH st AS (SELECT event_type, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2::DOUBLE) AS h, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1),
-v AS (SELECT event_type, value, count(*) AS k FROM events GROUP BY 1, 2), g AS (SELECT range AS i FROM range(500))
+v AS (SELECT event_type, avg(value) AS value, count(*) AS k FROM events JOIN st USING (event_type) GROUP BY 1, floor((value - lo) / (h / 50))), g AS (SELECT range AS i FROM range(500))
 SELECT event_type AS "group", i::INTEGER AS i, round(any_value(lo + i * (hi - lo) / 500), 6) AS x,
  round(sum(k * exp(-0.5 * pow((lo + i * (hi - lo) / 500 - value) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 6) AS density
 FROM v JOIN st USING (event_type), g GROUP BY 1, 2""",

@@ -132,12 +132,13 @@ def _(spark, d):
 
 @query(
     "p8_merged_values",
-    r"""WITH v AS (SELECT text AS value, count(*) AS n FROM documents GROUP BY text)
+    r"""WITH v AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN replace(p_type, ' ', '-') ELSE p_type END AS value, count(*) AS n FROM part GROUP BY 1)
 SELECT regexp_replace(strip_accents(value), '[^\p{L}\p{N}_]', '', 'g') AS cleaned, count(*) AS n_values, sum(n)::BIGINT AS n_rows FROM v
 GROUP BY 1 HAVING count(*) > 1""",
 )
 def _(spark, d):
-    return merged_values(table(spark, d, "documents"), "text")
+    varied = F.when(F.col("p_partkey") % 3 == 0, F.replace("p_type", F.lit(" "), F.lit("-"))).otherwise(F.col("p_type"))
+    return merged_values(table(spark, d, "part").select(varied.alias("p_type")), "p_type")
 
 
 @query(
@@ -663,18 +664,18 @@ def _(spark, d):
     return assoc.to_matrix(long, _A_NUM + _A_CAT)
 
 
-_T12_CATS, _T12_NUMS = ["l_returnflag", "o_orderstatus"], ["l_quantity", "l_extendedprice"]
+_T12_CATS, _T12_NUMS = ["l_returnflag", "o_orderstatus"], ["l_quantity", "l_extendedprice", "net"]
 
 
 @query(
     "t12_alert_correlation",
-    f"""WITH {JOINED}, {_cont_sql('j', _T12_CATS)}, h AS ({_pearson_sql('j', _T12_NUMS)}
+    f"""WITH {JOINED.replace('j AS (SELECT *', 'j AS (SELECT *, l_extendedprice * (1 - l_discount) AS net')}, {_cont_sql('j', _T12_CATS)}, h AS ({_pearson_sql('j', _T12_NUMS)}
  UNION ALL SELECT var_1, var_2, value FROM ({_eta_sql('j', _T12_CATS, _T12_NUMS)}) UNION ALL SELECT var_1, var_2, {_CORR_V} FROM ct),
  b AS (SELECT * FROM h UNION ALL SELECT var_2, var_1, value FROM h)
 SELECT var_1 AS "Variable", 'Highly correlated with ' || var_2 || ' ' || printf('%.2f', value) AS "Detail" FROM b WHERE var_1 <> var_2 AND abs(value) > 0.5""",
 )
 def _(spark, d):
-    df = joined(spark, d).select("l_quantity", "l_extendedprice", "l_returnflag", "o_orderstatus")
+    df = joined(spark, d).select("l_quantity", "l_extendedprice", "l_returnflag", "o_orderstatus", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
     return profile.correlation_alerts(assoc.associations(df, "pearson")).select("Variable", "Detail")
 
 

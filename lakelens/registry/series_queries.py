@@ -150,8 +150,7 @@ def _(spark, d):
     return _facts(windows.window_facts(_gappy(table(spark, d, "events")), "ts"))
 
 
-@query("z3_windowed_profile_stream", f"SELECT * FROM ({_FACTS}) WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+@query("z3_windowed_profile_stream", _FACTS)
 def _(spark, d):
     root = f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
-    windows.run_to_parquet(windows.window_facts(_gappy(stream_of(spark, d, "events")), "ts"), f"{root}/rows", f"{root}/state")
-    return _facts(spark.read.parquet(f"{root}/rows"))
+    return _facts(windows.run_upserts(windows.window_facts(_gappy(stream_of(spark, d, "events")), "ts"), f"{root}/rows", f"{root}/state"))

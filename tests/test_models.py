@@ -133,6 +133,29 @@ def test_tree_attributions_add_up(spark, make):
     assert max(abs(total[i] + base - pred[i]) for i in pred) < 1e-9
 
 
+def test_tree_attributions_of_classifiers_and_categories(spark):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler, VectorIndexer
+
+    rows = [(i, float(i % 5), float((i * 7) % 11), float(i % 5 in (1, 4)) if (i * 7) % 11 < 8 else float(i % 2)) for i in range(400)]
+    raw = VectorAssembler(inputCols=["a", "b"], outputCol="raw").transform(spark.createDataFrame(rows, "id long, a double, b double, label double"))
+    df = VectorIndexer(inputCol="raw", outputCol="features", maxCategories=6).fit(raw).transform(raw).select("id", "features", "label")
+    for model, wanted in (
+        (GBTClassifier(maxIter=4, maxDepth=3, seed=1).fit(df), lambda r: r["rawPrediction"][1]),
+        (RandomForestClassifier(numTrees=4, maxDepth=4, seed=1).fit(df), lambda r: r["probability"][1]),
+        (RandomForestRegressor(numTrees=4, maxDepth=4, seed=1).fit(df), lambda r: r["prediction"]),
+    ):
+        phi, base = explain.tree_shap(model, df, "id", ["a", "b"], classification="Classif" in type(model).__name__, target=1)
+        total = {r["id"]: r["s"] for r in phi.groupBy("id").agg(F.sum("shap").alias("s")).collect()}
+        assert all(abs(total[r["id"]] + base - wanted(r)) < 1e-9 for r in model.transform(df).collect())
+
+
+def test_forest_imputation_of_many_categories(spark):
+    df = spark.range(700).select((F.col("id") % 70).cast("double").alias("a"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("k"), F.col("id") % 70)).alias("c"))
+    out = ForestImputer(nums=["a"], cats=["c"], method="miss_forest").fit(df).transform(df)
+    assert out.where("c IS NULL").isEmpty()
+
+
 def test_permutation_attributions_of_a_linear_model(spark):
     df, x, y = linear_data(spark)
     m = LinearRegression().fit(df)
