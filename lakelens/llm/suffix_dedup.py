@@ -20,6 +20,7 @@ GRAM = 32  # bytes of an anchor; every string of LENGTH bytes holds one
 SPAN = LENGTH - GRAM  # a string that holds the anchor at p starts in [p - SPAN, p]
 TOGETHER = 12  # different surroundings of an anchor that are sorted together
 BATCH = 2 << 20  # bytes of texts that are sorted side by side
+SLICE = 1 << 20  # bytes whose anchors are found together
 
 _P = np.array([0x9E3779B97F4A7C15], np.uint64)
 
@@ -66,6 +67,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at[head] + lo, h[at[head]], inside[head] + lo, inside[last] + lo
 
 
+def packed_bytes(flat: np.ndarray) -> np.ndarray:
+    """Bytes i to i + 7 of each position of a text (bytes plus 2, ends below), as one number."""
+    out = (np.maximum(flat, 2) - 2).astype(np.uint64)
+    for width in (1, 2, 4):
+        out = out | np.append(out[width:], np.zeros(min(width, len(out)), np.uint64)) << np.uint64(8 * width)
+    return out
+
+
 def repeated_starts(bodies: list[list[bytes]], counts: list[np.ndarray]) -> list[list[np.ndarray]]:
     """For each group of different bodies: the starts of their strings of LENGTH bytes that start more than once in the group.
 
@@ -94,9 +103,10 @@ def repeated_starts(bodies: list[list[bytes]], counts: list[np.ndarray]) -> list
         group = np.searchsorted(ends, array, "right")
         same = np.zeros(len(array), bool)  # as the one before
         pair = np.flatnonzero(group[1:] == group[:-1]) + 1
-        for part in range(0, len(pair), 20_000):
-            p = pair[part : part + 20_000]
-            same[p] = (flat[array[p][:, None] + np.arange(LENGTH)] == flat[array[p - 1][:, None] + np.arange(LENGTH)]).all(1)
+        eight = packed_bytes(flat)
+        for at in range(0, LENGTH, 8):
+            pair = pair[eight[array[pair] + at] == eight[array[pair - 1] + at]]
+        same[pair] = True
         often = np.concatenate([counts[g] for g in batch])[body] > 1
         hit = same | often
         hit[:-1] |= same[1:]
@@ -224,7 +234,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     def find(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 at, h, first, last = anchors(data, offsets[i : j + 1])
                 row = np.searchsorted(offsets[i : j + 1], at, "right") - 1
                 names = batch.column(0).slice(i, j - i).take(pa.array(row))
@@ -273,7 +283,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     owners = bodies.groupBy("t").agg(F.collect_list(F.struct("key", "body", "first", "last", "at", "n")).alias("owns"))
     units = whole.select("t", "text").join(owners, "t").mapInArrow(owned, "key long, body binary, n long, piece binary, anchor int")
-    units = units.select("*", F.lit(0).alias("low"), F.lit(SPAN).alias("high"))
+    units = cut(units.select("*", F.lit(0).alias("low"), F.lit(SPAN).alias("high")))
     found = cut(resolve(units).where(F.size("starts") > 0))
     found = found.join(bodies.select("key", "body", "rows"), ["key", "body"]).select(F.concat(F.hex("body"), F.hex("key")).alias("name"), "starts", F.col("rows").alias("weight"))
     hits = lookup(members.select(F.concat(F.hex("body"), F.hex("key")).alias("name"), "t", "first"), found, "name", "weight", 0)
