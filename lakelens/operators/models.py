@@ -12,10 +12,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -136,6 +136,21 @@ def margin_probabilities(margin):
     return F.array(1 / (1 + e), e / (1 + e))
 
 
+class MarginProbability(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """``probability`` = softmax of ``rawPrediction``, for models that give margins only: [-m, m] of two classes, one margin for each of more."""
+
+    def _transform(self, df):
+        raw = vector_to_array("rawPrediction")
+        e = F.transform(raw, lambda x: F.exp(x - F.array_max(raw)))
+        total = F.aggregate("__margin", F.lit(0.0), lambda a, x: a + x)
+        out = df.withColumn("__margin", e).withColumn("probability", array_to_vector(F.transform("__margin", lambda x: x / total)))
+        return out.drop("__margin")
+
+
+def _with_probability(*stages):
+    return Pipeline(stages=[*stages, MarginProbability()])
+
+
 @dataclass
 class Spec:
     """A named model: how to build it and the ranges of its parameters (low, high) or list of choices."""
@@ -147,11 +162,12 @@ class Spec:
 
 
 def _ovr(learner, binary: bool):
-    return learner if binary else C.OneVsRest(classifier=learner)
+    """The learner itself for two classes; one learner for each of more, whose margins make probabilities."""
+    return learner if binary else _with_probability(C.OneVsRest(classifier=learner))
 
 
 def _linear_svc(strength, n_rows, binary):
-    return _ovr(_svc(strength, n_rows), binary)
+    return _with_probability(_svc(strength, n_rows)) if binary else _ovr(_svc(strength, n_rows), binary)
 
 
 def classifiers(n_rows: int, n_cols: int, binary: bool, n_classes: int) -> dict[str, Spec]:
@@ -172,7 +188,7 @@ def classifiers(n_rows: int, n_cols: int, binary: bool, n_classes: int) -> dict[
         Spec("ElasticNet", lambda C=1.0, l1_ratio=0.5: logit(regParam=1.0 / (C * n_rows), elasticNetParam=l1_ratio), {**c_range, "l1_ratio": (0.015, 1.0)}),
         Spec("LDA", lambda: LinearDiscriminant()),
         Spec("SVM_L", lambda C=1.0: _linear_svc(C, n_rows, binary), c_range),
-        Spec("SVM_R", lambda C=1.0, gamma=0.1: Pipeline(stages=[FourierFeatures(gamma=gamma), _ovr_on(_svc(C, n_rows, "fourier"), binary, "fourier")]), {**c_range, "gamma": (0.001, 1.0)}),
+        Spec("SVM_R", lambda C=1.0, gamma=0.1: Pipeline(stages=[FourierFeatures(gamma=gamma), _ovr_on(_svc(C, n_rows, "fourier"), binary, "fourier"), MarginProbability()]), {**c_range, "gamma": (0.001, 1.0)}),
         Spec("KNN", lambda k=5, p=2: KNeighbours(k=k, p=p, task="classification"), {"k": (2, min(200, max(3, n_rows - 1))), "p": [1, 2]}, ("k",)),
         Spec("DecisionTree", lambda **kw: C.DecisionTreeClassifier(seed=SEED, **kw), tree, ("maxDepth",)),
         Spec("RandomForest", lambda **kw: C.RandomForestClassifier(seed=SEED, **{"numTrees": 100, "maxDepth": 8, **kw}), forest, ("maxDepth", "numTrees", "minInstancesPerNode")),

@@ -156,6 +156,18 @@ def test_forest_imputation_of_many_categories(spark):
     assert out.where("c IS NULL").isEmpty()
 
 
+def test_margins_become_probabilities(spark):
+    raw = [[-1.5, 1.5], [2.0, -2.0], [0.3, -700.0, 700.0]]
+    df = spark.createDataFrame([(v,) for v in raw], "v array<double>").select(array_to_vector("v").alias("rawPrediction"))
+    for r in models.MarginProbability().transform(df).collect():
+        want = np.exp(np.array(r["rawPrediction"]) - max(r["rawPrediction"]))
+        assert np.allclose(r["probability"], want / want.sum())
+    rows = [([float(i % 2) + 0.1 * (i % 7)], float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "v array<double>, label double").select(array_to_vector("v").alias("features"), "label").coalesce(1).persist()
+    out = models.classifiers(60, 1, True, 2)["SVM_L"].build().fit(df).transform(df).select("prediction", vector_to_array("probability").alias("p")).collect()
+    assert all(r["p"][int(r["prediction"])] == max(r["p"]) for r in out)
+
+
 def test_permutation_attributions_of_a_linear_model(spark):
     df, x, y = linear_data(spark)
     m = LinearRegression().fit(df)
