@@ -132,16 +132,27 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])
 
 
+RUNS = "array<struct<a: int, b: int>>"
+_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def runs_of(starts: np.ndarray) -> list[dict[str, int]]:
+    """Ascending starts as runs [a, b)."""
+    if not len(starts):
+        return []
+    edge = np.flatnonzero(np.diff(starts) > 1)
+    first, last = starts[np.append(0, edge + 1)], starts[np.append(edge, len(starts) - 1)] + 1
+    return [{"a": a, "b": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+
+
 def solve(batches):
-    """(key, body, starts) of groups with at most TOGETHER bodies, in partitions sorted by key."""
+    """(key, body, runs of starts) of groups with at most TOGETHER bodies, in partitions sorted by key."""
 
     def flush(held):
         found = repeated_starts([h["piece"].to_pylist() for h in held], [h["n"].to_numpy() for h in held])
         keys = np.concatenate([h["bucket"].to_numpy() for h in held])
         names = [b for h in held for b in h["body"].to_pylist()]
-        values = [s.astype(np.int32) for f in found for s in f]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]), pa.int32()), pa.array(np.concatenate([*values, np.zeros(0, np.int32)])))
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names, pa.binary()), lists], names=["key", "body", "starts"])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names, pa.binary()), pa.array([runs_of(s) for f in found for s in f], _RUNS)], names=["key", "body", "starts"])
 
     held, total = [], 0
     for _, rows in by_group(batches):
@@ -186,7 +197,7 @@ def name_of(piece: bytes, anchor: int) -> bytes:
 
 
 def resolve(units: DataFrame) -> DataFrame:
-    """(key, body, starts): the repeated strings of each body, among all bodies with its key.
+    """(key, body, starts): the repeated strings of each body, among all bodies with its key, as runs [a, b) of their starts.
 
     ``units`` has one row by (key, body): piece, anchor, low, high, n (how often it is there). Keys of one
     body need no sorting: its strings repeat if it is there twice. Keys of up to TOGETHER bodies are
@@ -196,10 +207,10 @@ def resolve(units: DataFrame) -> DataFrame:
     sizes = units.groupBy("key").agg(F.count("*").alias("weight"))
     known = lookup(units, sizes.withColumn("bodies", F.col("weight")), "key", "weight")
     known = cut(known)
-    every = F.sequence(F.lit(0), F.octet_length("piece") - LENGTH)
-    one = known.where("bodies = 1").select("key", "body", F.when(F.col("n") > 1, every).otherwise(F.array().cast("array<int>")).alias("starts"))
+    every = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("piece") - LENGTH + 1).alias("b")))
+    one = known.where("bodies = 1").select("key", "body", F.when(F.col("n") > 1, every).otherwise(F.array().cast(RUNS)).alias("starts"))
     some = known.where(F.col("bodies").between(2, TOGETHER)).select(F.col("key").alias("bucket"), "body", "piece", "n")
-    out = one.unionByName(grouped(some).mapInArrow(solve, "key long, body binary, starts array<int>"))
+    out = one.unionByName(grouped(some).mapInArrow(solve, f"key long, body binary, starts {RUNS}"))
     many = known.where(F.col("bodies") > TOGETHER)
     if many.isEmpty():
         return out
@@ -210,10 +221,16 @@ def resolve(units: DataFrame) -> DataFrame:
     weights = parts.groupBy("new_key", "new_body").agg(F.count("*").alias("weight"))
     found = found.join(weights, ["new_key", "new_body"]).withColumn("child", F.concat(F.hex("new_body"), F.hex("new_key"))).select("child", "starts", "weight")
     back = lookup(parts.select("key", "body", "shift", F.concat(F.hex("new_body"), F.hex("new_key")).alias("child")), found, "child", "weight", 0)
-    back = back.select("key", "body", F.transform("starts", lambda s: s + F.col("shift")).alias("starts"))
+    back = back.select("key", "body", F.transform("starts", lambda s: F.struct((s["a"] + F.col("shift")).alias("a"), (s["b"] + F.col("shift")).alias("b"))).alias("starts"))
     return out.unionByName(back.groupBy("key", "body").agg(F.flatten(F.collect_list("starts")).alias("starts")))
 
 
+def small(batches, rows: int = 256):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept_sha256) for every row of ``docs``: the bytes that repeats cover, and what is left.
 
@@ -229,7 +246,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     corpus. The same text in many documents is one text with a count.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = docs.select(F.md5("text").alias("t"), "text")
+    base = docs.select(F.unhex(F.md5("text")).alias("t"), "text")
 
     def find(batches):
         for batch in batches:
@@ -241,15 +258,15 @@ def repeats(docs: DataFrame) -> DataFrame:
                 columns = [pa.array((x - offsets[i + row]).astype(np.int32)) for x in (at, first, last)]
                 yield pa.RecordBatch.from_arrays([names, *columns, pa.array(h.view(np.int64))], names=["t", "at", "first", "last", "h"])
 
-    places = cut(base.where(F.octet_length("text") >= LENGTH).mapInArrow(find, "t string, at int, first int, last int, h long"))
+    places = cut(base.where(F.octet_length("text") >= LENGTH).mapInArrow(find, "t binary, at int, first int, last int, h long"))
     shared = cut(places.groupBy("h").agg(F.count("*").alias("weight")).where("weight > 1"))
     at = lookup(places, shared, "h", "weight", 0).groupBy("t").agg(F.collect_set(F.struct("first", "last", "at")).alias("at"))
-    copies = docs.groupBy(F.md5("text").alias("t")).agg(F.count("*").alias("copies"))
+    copies = docs.groupBy(F.unhex(F.md5("text")).alias("t")).agg(F.count("*").alias("copies"))
     whole = base.join(at.join(copies, "t").hint("merge"), "t").dropDuplicates(["t"])
     whole = cut(whole.select("t", "text", "copies", F.array_sort("at").alias("at")))
 
     def around(batches):
-        for batch in batches:
+        for batch in small(batches):
             names, copies, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             data, offsets = utf8(batch.column(1))
             out = [[] for _ in range(7)]
@@ -261,16 +278,16 @@ def repeats(docs: DataFrame) -> DataFrame:
                     piece = text[p["first"] : p["last"] + LENGTH]
                     for column, value in zip(out, (key, name_of(piece, p["at"] - p["first"]), t, p["first"], p["last"], p["at"], n), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "body", "t", "first", "last", "at", "n"])
 
-    members = cut(whole.mapInArrow(around, "key long, body binary, t string, first int, last int, at int, n long"))
+    members = cut(whole.mapInArrow(around, "key long, body binary, t binary, first int, last int, at int, n long"))
     bodies = members.groupBy("key", "body").agg(F.sum("n").alias("n"), F.min(F.struct("t", "first", "last", "at")).alias("o"), F.count("*").alias("rows"))
     bodies = cut(bodies.select("key", "body", "n", "o.*", "rows"))
 
     def owned(batches):
         """The pieces of the bodies that each text owns; one row by text comes in."""
-        for batch in batches:
+        for batch in small(batches):
             data, offsets = utf8(batch.column("text"))
             out = [[], [], [], [], []]
             for k, owns in enumerate(batch.column("owns").to_pylist()):
@@ -290,13 +307,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     hits = hits.groupBy("t").agg(F.collect_list(F.struct("first", "starts")).alias("hits"))
 
     def strip(batches):
-        for batch in batches:
+        for batch in small(batches):
             data, offsets = utf8(batch.column("text"))
             spans, digests = [], []
             for k, hits in enumerate(batch.column("hits").to_pylist()):
                 text = data[offsets[k] : offsets[k + 1]]
-                starts = np.unique(np.concatenate([np.array(h["starts"], np.int64) + h["first"] for h in hits]))
-                low, high = merged(starts, starts + LENGTH)
+                found = np.array(sorted((r["a"] + h["first"], r["b"] + h["first"] + LENGTH - 1) for h in hits for r in h["starts"]), np.int64).reshape(-1, 2)
+                low, high = merged(found[:, 0], found[:, 1])
                 keep = np.ones(len(text), bool)
                 keep[ranges(low, high - low)] = False
                 spans.append([{"start": a, "end": b} for a, b in zip(low.tolist(), high.tolist(), strict=True)])
@@ -304,9 +321,9 @@ def repeats(docs: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(spans, kind), pa.array(digests), batch.column("copies")], names=["t", "spans", "kept", "weight"])
 
-    schema = "t string, spans array<struct<start: long, end: long>>, kept string, weight long"
+    schema = "t binary, spans array<struct<start: long, end: long>>, kept string, weight long"
     results = cut(whole.select("t", "text", "copies").join(hits, "t").mapInArrow(strip, schema))
-    rest = docs.select("doc_id", F.md5("text").alias("t"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
+    rest = docs.select("doc_id", F.unhex(F.md5("text")).alias("t"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
     touched = lookup(rest, results, "t", "weight", 0)
     untouched = rest.join(results.select("t").hint("merge"), "t", "left_anti")
     none = F.array().cast("array<struct<start: long, end: long>>")
