@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from lakelens.plans.quantiles import exact_quantiles
 from lakelens.plans.session import cut
 
 SEED = 123
+EVALUATIONS = 4_000_000  # model evaluations of one task of permutation_shap
 
 
 def _scored(model, df: DataFrame, target: int | None) -> DataFrame:
@@ -70,38 +72,50 @@ def ice_curves(model, df: DataFrame, id_col: str, names: list[str], name: str, f
 
 
 def permutation_shap(model, df: DataFrame, id_col: str, names: list[str], background: DataFrame, target: int | None = None, permutations: int = 5, features: str = "features", max_background: int = 100) -> DataFrame:
-    """(id, feature, shap) by permutations walked forward and backward against a bounded background.
+    """(id, feature, shap) of every row, by permutations walked forward and backward against a bounded background.
 
-    Rows are expanded to (permutation, prefix, background row) on the executors, scored by ONE transform,
-    averaged per prefix, and neighbouring prefixes are subtracted. For each row the values add up to
-    f(x) - mean f(background). The background is the ``max_background`` vectors with the smallest hashes: a
-    sample that does not depend on their order or size.
+    Each different prefix of the permutations is a coalition. Executors expand a row to coalitions x background
+    rows, ONE transform scores them, and the scores are summed by row with the weight that the coalition has for
+    each feature. The coalition of all features is the row itself; that of none is scored once for all rows. For
+    each row the values add up to f(x) - mean f(background). The background is the ``max_background`` vectors
+    with the smallest hashes: a sample that does not depend on their order or size.
     """
     bg = np.array([r["v"] for r in background.select(as_array(background, features).alias("v")).orderBy(F.xxhash64("v"), "v").limit(max_background).collect()])
     p = len(names)
     rng = np.random.default_rng(SEED)
     orders = [o for _ in range(permutations) for o in (lambda q: (q, q[::-1]))(rng.permutation(p))]
-    base_type = dict(df.dtypes)[id_col]
+    gain: dict[tuple, np.ndarray] = {}
+    for order in orders:
+        for j, f in enumerate(order):
+            for size, sign in ((j, -1.0), (j + 1, 1.0)):
+                gain.setdefault(tuple(sorted(order[:size].tolist())), np.zeros(p))[f] += sign / len(orders)
+    none, every = gain.pop(()), gain.pop(tuple(range(p)))
+    masks = np.zeros((len(gain), p), dtype=bool)
+    for k, members in enumerate(gain):
+        masks[k, list(members)] = True
+    weights = np.vstack([*[g / len(bg) for g in gain.values()], every])
+    spark, base_type = df.sparkSession, dict(df.dtypes)[id_col]
+    start = _scored(model, spark.createDataFrame([(v.tolist(),) for v in bg], "v array<double>").withColumn(features, array_to_vector("v")), target).agg(F.avg("f")).first()[0]
+    which = np.append(np.repeat(np.arange(len(masks)), len(bg)), len(masks)).astype(np.int32)
+    offsets = np.arange(len(which) + 1, dtype=np.int32) * p
 
     def expand(batches):
-        for pdf in batches:
-            for rid, x in zip(pdf["id"], pdf["v"]):
-                for k, order in enumerate(orders):
-                    mask = np.zeros((p + 1, p), dtype=bool)
-                    for j, f in enumerate(order):
-                        mask[j + 1 :, f] = True
-                    z = np.where(mask[:, None, :], np.asarray(x)[None, None, :], bg[None])
-                    yield pd.DataFrame({"id": rid, "k": k, "pos": np.repeat(np.arange(p + 1), len(bg)), "v": list(z.reshape(-1, p))})
-
-    big = df.select(col(id_col).alias("id"), as_array(df, features).alias("v")).mapInPandas(expand, f"id {base_type}, k int, pos int, v array<double>")
+        for batch in batches:
+            for i, x in enumerate(batch.column(1).to_pylist()):
+                x = np.asarray(x)
+                z = np.vstack([np.where(masks[:, None, :], x, bg[None]).reshape(-1, p), x])
+                rid = batch.column(0).take(pa.array(np.full(len(which), i)))
+                yield pa.RecordBatch.from_arrays([rid, pa.array(which), pa.ListArray.from_arrays(pa.array(offsets), pa.array(z.ravel()))], names=["id", "k", "v"])
+
+    rows = df.select(col(id_col).alias("id"), as_array(df, features).alias("v"))
+    rows = rows.repartition(max(1, math.ceil(df.count() * len(which) / EVALUATIONS)), "id")  # bounded tasks
+    big = rows.mapInArrow(expand, f"id {base_type}, k int, v array<double>")
     scored = _scored(model, big.withColumn(features, array_to_vector("v")), target)
-    prefix = scored.groupBy("id", "k", "pos").agg(F.avg("f").alias("f"))
-    # the value of the j-th feature in order k is f(prefix j + 1) - f(prefix j)
-    plus = prefix.where("pos > 0").select("id", "k", (F.col("pos") - 1).alias("pos"), F.col("f").alias("d"))
-    minus = prefix.where(F.col("pos") < p).select("id", "k", "pos", (-F.col("f")).alias("d"))
-    table = F.array(*[F.array(*[F.lit(names[f]) for f in o]) for o in orders])
-    named = plus.unionByName(minus).withColumn("feature", F.get(F.get(table, F.col("k")), F.col("pos")))
-    return named.groupBy(F.col("id").alias(id_col), "feature").agg((F.sum("d") / len(orders)).alias("shap"))
+    part = lambda i: F.sum(F.col("f") * F.get(F.array(*[F.lit(float(w)) for w in weights[:, i]]), F.col("k")))
+    copies = F.sum((F.col("k") == len(masks)).cast("long"))  # rows that repeat an id are averaged
+    sums = scored.groupBy("id").agg(F.array(*[part(i) / copies + F.lit(float(none[i]) * start) for i in range(p)]).alias("shap"))
+    named = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("shap"))
+    return sums.select(F.col("id").alias(id_col), F.explode(named).alias("e")).select(id_col, "e.feature", "e.shap")
 
 
 def tree_table(model, classification: bool, target: int = 0) -> list[tuple[float, dict]]:

@@ -266,8 +266,7 @@ def _(spark, d):
 @query("xp2_permutation_shap")
 def _(spark, d):
     m, test, names = forest_model(spark, d)
-    rows = _with_id(test).orderBy("row_id").limit(100)
-    return explain.permutation_shap(m, rows, "row_id", names, test.orderBy(*LINE_ID[:4]), permutations=2, max_background=20)
+    return explain.permutation_shap(m, _with_id(test), "row_id", names, test)
 
 
 @query("xp3_tree_shap")

@@ -230,3 +230,18 @@ def test_stream_scores_equal_batch_scores(spark, folder):
     assert batch.count() == stream.count() and batch.exceptAll(stream).isEmpty()
     with pytest.raises(ValueError):
         sq.serve.check_input(spark.range(1), ["value"], [])
+
+
+def test_permutation_shap_query_covers_every_test_row(spark, folder):
+    from lakelens.registry import load
+    from lakelens.registry import model_queries as mq
+
+    m, test, names = mq.forest_model(spark, folder)
+    got = load()[0]["xp2_permutation_shap"](spark, folder)
+    per = got.groupBy("row_id").agg(F.count("*").alias("n"), F.sum("shap").alias("s"))
+    n = test.count()
+    assert n > 100
+    f = mq._with_id(m.transform(test)).select("row_id", "prediction").join(per, "row_id").toPandas()
+    assert len(f) == n and set(f["n"]) == {len(names)}
+    gap = f["prediction"] - f["s"]  # the mean prediction of the background, the same for every row
+    assert gap.max() - gap.min() < 1e-6 * abs(gap.mean())
