@@ -183,7 +183,7 @@ def mixture(df: DataFrame, k: int, kind: str, features: str = "features", bayesi
 
 
 def linkage_labels(points: np.ndarray, weights: np.ndarray, k: int, method: str) -> np.ndarray:
-    """Agglomerate at most MICRO weighted points into k groups (Lance-Williams updates)."""
+    """Agglomerate a summary of weighted points into k groups (Lance-Williams updates)."""
     m = len(points)
     if m <= k:
         return np.arange(m)
@@ -218,78 +218,106 @@ def _label_nearest(df: DataFrame, features: str, points: np.ndarray, labels: np.
     return df.withColumn("cluster_label", nearest(as_array(df, features)))
 
 
-def micro_clusters(df: DataFrame, features: str, limit: int = MICRO) -> tuple[np.ndarray, np.ndarray]:
-    """(centres, weights): the distinct vectors when there are few, else k-means centres."""
-    v = df.select(as_array(df, features).alias("v"))
-    few = v.groupBy("v").agg(F.count("*").alias("n")).limit(limit + 1).collect()
-    if len(few) <= limit:
-        few = sorted(few, key=lambda r: list(r["v"]))
-        return np.array([r["v"] for r in few]), np.array([r["n"] for r in few])
-    labelled, centres = kmeans(df, limit, features)
-    sizes = dict(labelled.groupBy("cluster_label").agg(F.count("*")).collect())
-    keep = [i for i in range(len(centres)) if sizes.get(i, 0) > 0]
-    return centres[keep], np.array([sizes[i] for i in keep])
-
-
-def agglomerative(df: DataFrame, k: int, method: str, features: str = "features") -> DataFrame:
-    points, weights = micro_clusters(df, features)
-    return _label_nearest(df, features, points, linkage_labels(points, weights, k, method))
-
-
-def _condense(x, n, ss, threshold, limit):
-    """Sequential clustering features: absorb a row when the merged radius stays within the threshold."""
-    while True:
-        cn, cs, cq = [], [], []
-        for xi, ni, qi in zip(x, n, ss):
-            if cn:
-                a = np.array(cn)
-                s = np.array(cs) + xi
-                tot = a + ni
-                rad = np.sqrt(np.maximum((np.array(cq) + qi) / tot - ((s / tot[:, None]) ** 2).sum(axis=1), 0))
-                j = int(np.argmin(((np.array(cs) / a[:, None] - xi / ni) ** 2).sum(axis=1)))
-                if rad[j] <= threshold:
-                    cn[j] += ni
-                    cs[j] = cs[j] + xi
-                    cq[j] += qi
-                    continue
-            cn.append(ni)
-            cs.append(xi)
-            cq.append(qi)
-            if len(cn) > limit:
+def _merge_closest(cm, cn, cs, threshold, limit):
+    """Merge neighbouring leaves, those of the smallest merged radius first, until ``limit`` are left; (leaves..., largest radius used)."""
+    while len(cm) > limit:
+        x = cm - cm.mean(axis=0)
+        d = (x**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * x @ x.T
+        np.fill_diagonal(d, np.inf)
+        j = d.argmin(axis=1)
+        tot = cn + cn[j]
+        merged = cs + cs[j] + cn * cn[j] / tot * ((cm - cm[j]) ** 2).sum(axis=1)
+        radius = np.sqrt(merged / tot)
+        gone, used, spare = np.zeros(len(cm), bool), np.zeros(len(cm), bool), len(cm) - limit
+        cm, cs = cm.copy(), cs.copy()
+        for a in np.argsort(radius, kind="stable"):
+            b = j[a]
+            if used[a] or used[b]:
+                continue
+            cm[a] += (cm[b] - cm[a]) * (cn[b] / tot[a])
+            cs[a], used[a], used[b], gone[b] = merged[a], True, True, True
+            threshold = max(threshold, float(radius[a]))
+            spare -= 1
+            if not spare:
                 break
-        else:
-            return np.array(cs), np.array(cn), np.array(cq), threshold
-        threshold *= 1.5
+        cn = np.where(used & ~gone, tot, cn)
+        cm, cn, cs = cm[~gone], cn[~gone], cs[~gone]
+    return cm, cn, cs, threshold
 
 
-def birch(df: DataFrame, k: int, features: str = "features", threshold: float = 0.5, limit: int = 500) -> DataFrame:
-    """Clustering features per partition, merged 16 partitions at a time, then Ward linkage of the leaves."""
+def _condense(rows, limit):
+    """Sequential clustering features of rows (mean, weight, squares about the mean, least threshold): a row joins its nearest leaf when the merged radius stays within the threshold.
 
-    def summarise(batches):
-        x = n = q = None
-        for pdf in batches:
-            if not len(pdf):
+    Twice ``limit`` leaves are merged down to ``limit``, closest first, and the threshold becomes the largest
+    radius that this made; so it rises no further than the limit asks for.
+    """
+    room = 2 * limit
+    cm, cn, cs = np.empty((0, 0)), np.empty(room), np.empty(room)
+    size, threshold = 0, 0.0
+    for x, w, q, least in rows:
+        if not size:
+            cm = np.empty((room, len(x)))
+        threshold = max(threshold, least)
+        if size:
+            d = ((cm[:size] - x) ** 2).sum(axis=1)
+            j = int(d.argmin())
+            tot = cn[j] + w
+            merged = cs[j] + q + cn[j] * w / tot * d[j]
+            if math.sqrt(merged / tot) <= threshold:
+                cm[j] += (x - cm[j]) * (w / tot)
+                cn[j], cs[j] = tot, merged
                 continue
-            bx, bn, bq = stack(pdf["s"]), pdf["n"].to_numpy(float), pdf["q"].to_numpy(float)
-            if x is not None:
-                bx, bn, bq = np.vstack([x, bx]), np.hstack([n, bn]), np.hstack([q, bq])
-            x, n, q, _ = _condense(bx, bn, bq, threshold, limit)
-        if x is not None:
-            yield pd.DataFrame({"s": list(x), "n": n, "q": q})
-
-    schema = "s array<double>, n double, q double"
-    v = df.select(as_array(df, features).alias("s"))
-    leaves = cut(v.select("s", F.lit(1.0).alias("n"), F.aggregate("s", F.lit(0.0), lambda a, e: a + e * e).alias("q")).mapInPandas(summarise, schema))
-    parts = leaves.rdd.getNumPartitions()
+        if size == room:
+            a, b, c, threshold = _merge_closest(cm, cn, cs, threshold, limit)
+            size = len(a)
+            cm[:size], cn[:size], cs[:size] = a, b, c
+        cm[size], cn[size], cs[size] = x, w, q
+        size += 1
+    return _merge_closest(cm[:size], cn[:size], cs[:size], threshold, limit)
+
+
+def micro_clusters(df: DataFrame, features: str, limit: int = MICRO, threshold: float = 0.0, block: int = 20_000) -> tuple[np.ndarray, np.ndarray, float]:
+    """(centres, weights, threshold reached): at most ``limit`` clustering features of the distinct vectors.
+
+    One rule at every size: executors condense blocks of about ``block`` vectors, then 16 blocks of leaves at a
+    time, and only the last leaves reach the driver. The radius of a leaf is at most the threshold reached,
+    which starts at ``threshold`` and rises only as far as ``limit`` asks for. A threshold of 0 leaves every distinct vector
+    a leaf of its own, so a result with threshold 0 is exact.
+    """
+
+    def summarise(batches):
+        each = (row for pdf in batches for row in zip(pdf["v"], pdf["n"], pdf["ss"], pdf["reached"]))
+        mean, n, ss, reached = _condense(each, limit)
+        if len(mean):
+            yield pd.DataFrame({"v": list(mean), "n": n, "ss": ss, "reached": reached})
+
+    v = df.select(as_array(df, features).alias("v")).groupBy("v").agg(F.count("*").cast("double").alias("n"))
+    leaves = cut(v.withColumns({"ss": F.lit(0.0), "reached": F.lit(float(threshold))}))
+    parts = max(1, math.ceil(leaves.count() / block))
     while True:
-        parts = math.ceil(parts / 16)
-        leaves = cut(leaves.repartition(parts).mapInPandas(summarise, schema))
+        # the order within a task is that of the vectors, so the result does not depend on how rows were dealt
+        dealt = leaves.repartition(parts, F.xxhash64("v")) if parts > 1 else leaves.repartition(1)
+        leaves = cut(dealt.sortWithinPartitions(F.xxhash64("v", F.lit(1)), "v").mapInPandas(summarise, "v array<double>, n double, ss double, reached double"))
         if parts == 1:
             break
-    rows = leaves.collect()  # at most `limit` leaves
-    w = np.array([r["n"] for r in rows])
-    points = np.array([r["s"] for r in rows]) / w[:, None]
-    return _label_nearest(df, features, points, linkage_labels(points, w, k, "ward"))
+        parts = math.ceil(parts / 16)
+    rows = sorted(leaves.collect(), key=lambda r: list(r["v"]))  # at most `limit` leaves
+    return np.array([r["v"] for r in rows]), np.array([r["n"] for r in rows]), max((r["reached"] for r in rows), default=float(threshold))
+
+
+def agglomerative(df: DataFrame, k: int, method: str, features: str = "features", limit: int = MICRO) -> tuple[DataFrame, float]:
+    """(labelled rows, radius within which vectors were merged first): linkage of at most ``limit`` micro-clusters; exact where the radius is 0."""
+    points, weights, reached = micro_clusters(df, features, limit)
+    return _label_nearest(df, features, points, linkage_labels(points, weights, k, method)), reached
+
+
+def birch(df: DataFrame, k: int, features: str = "features", threshold: float = 0.5, limit: int = 500) -> tuple[DataFrame, float]:
+    """(labelled rows, threshold reached): Ward linkage of clustering features.
+
+    ``limit`` is the most leaves that the tree may have; where ``threshold`` gives more, it is raised, and the result says to what.
+    """
+    points, weights, reached = micro_clusters(df, features, limit, threshold)
+    return _label_nearest(df, features, points, linkage_labels(points, weights, k, "ward")), reached
 
 
 # ---------------------------------------------------------------- density and graph clustering
@@ -382,9 +410,9 @@ def fit_predict(df: DataFrame, name: str, k: int | None, id_col: str, features:
     if name.startswith("BayesianGaussianMixture"):
         return mixture(df, k, kind, features, bayesian=True)[0]
     if name.startswith("Agglomerative"):
-        return agglomerative(df, k, kind, features)
+        return agglomerative(df, k, kind, features)[0]
     if name == "BIRCH":
-        return birch(df, k, features)
+        return birch(df, k, features)[0]
     if name == "DBSCAN":
         return dbscan(df, id_col, features)
     return spectral(df, k, id_col, kind, features)

@@ -209,6 +209,10 @@ for _name in cluster.MODELS:
 
     @query(f"{_slug}_{_name.lower()}")
     def _(spark, d, name=_name):
+        if name == "BIRCH" or name.startswith("Agglomerative"):  # with the radius of the summary that was clustered
+            how = cluster.birch if name == "BIRCH" else lambda df, k, x: cluster.agglomerative(df, k, name.split("_")[1], x)
+            rows, reached = how(emb(spark, d), _SIX, "embedding")
+            return _shares(rows).withColumn("threshold", F.lit(reached))
         return _shares(cluster.fit_predict(emb(spark, d), name, _SIX, "vec_id", "embedding"))
 
 

@@ -77,6 +77,36 @@ def test_models_find_separated_groups(spark, name):
     assert cluster.agreement(truth, "truth", "cluster_label").first()["RandScore"] > 0.9
 
 
+@pytest.mark.parametrize("block", [20_000, 40])
+def test_summary_beyond_the_limit_merges_only_the_closest(spark, block):
+    x = [[10.0 * i, float(i % 3)] for i in range(200)]
+    df = spark.createDataFrame([(v,) for v in x + x[:50] + [[0.001, 0.0]]], "features array<double>")
+    points, weights, reached = cluster.micro_clusters(df, "features", limit=201, block=block)
+    assert reached == 0 and len(points) == 201 and weights.sum() == 251
+    points, weights, reached = cluster.micro_clusters(df, "features", limit=200, block=block)
+    assert 0 < reached < 0.001 and weights.sum() == 251  # before: k-means centres of all vectors
+    assert sorted(map(tuple, points.tolist()))[1:] == sorted(map(tuple, x[1:])) and sorted(weights)[-1] == 3
+
+
+def test_threshold_rises_no_further_than_the_limit_asks():
+    x = np.random.default_rng(5).normal(size=(3000, 32))
+    m, n, ss, reached = cluster._condense(((v, 1.0, 0.0, 0.5) for v in x), 100)
+    assert len(m) == 100 and n.sum() == 3000 and np.sqrt(ss / n).max() <= reached + 1e-12
+    assert np.allclose((n[:, None] * m).sum(axis=0), x.sum(axis=0))
+    assert reached <= 1.1 * np.sqrt(x.var(axis=0).sum())  # steps of a half made one leaf of all
+
+
+def test_birch_returns_the_threshold_it_ended_with(spark):
+    df, x = cloud(spark)
+    _, reached = cluster.birch(df, 4, threshold=1e6)
+    assert reached == 1e6
+    rows, reached = cluster.birch(df, 4, threshold=1e-4, limit=50)
+    assert reached > 1e-4 and rows.count() == len(x)
+    rows, reached = cluster.agglomerative(df, 4, "ward", limit=50)
+    truth = rows.withColumn("truth", F.floor(F.col("id") / 100))
+    assert reached > 0 and cluster.agreement(truth, "truth", "cluster_label").first()["RandScore"] > 0.9
+
+
 def test_stop_rule_and_bad_names(spark):
     assert cluster.stalled([1, 2], 1) and not cluster.stalled([1, 2, 3], 2) and cluster.stalled([3, 2, 1], 3)
     assert cluster.stalled([1, 2, 3], 3, maximise=False) and not cluster.stalled([1], 2)
