@@ -85,12 +85,14 @@ def held_out(remainder: int, modulus: int):
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, y) of at most ``most`` labelled documents: those whose ids have the smallest hashes.
 
-    Rows with a null id, label or text are left out, and ids with two different labels.
+    Rows with a null id, label or text are left out, and ids with two different labels. Of rows that repeat an
+    id only the text with the smallest hash counts, however many there are.
     """
     y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("top"))
     y = y.where("y = top").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", F.col("y").cast("int").alias("y"))
-    picked = docs.where(F.col("text").isNotNull()).join(F.broadcast(y), "doc_id")  # at most `most` rows
-    return picked.select("doc_id", "text", "y")
+    picked = docs.where(F.col("text").isNotNull()).join(F.broadcast(y), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("f")
+    return picked.groupBy("doc_id", "y").agg(first).select("doc_id", "f.text", "y")  # at most `most` rows
 
 
 TRAINING_ROWS = 16_000

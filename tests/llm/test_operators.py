@@ -369,3 +369,13 @@ def test_quality_gradients():
             down = loss()
             flat[i] = old
             assert flat_grad == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_training_rows_take_one_row_of_each_id(spark):
+    texts = [(1, f"copy number {i}") for i in range(300)] + [(2, "one text"), (2, None), (3, None), (None, "no id")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, "toxic", 10).collect()
+    assert sorted((r["doc_id"], r["y"]) for r in got) == [(1, 1), (2, 0)]
+    again = toxicity.training_rows(docs.repartition(2), labels, "toxic", 10).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
