@@ -29,6 +29,16 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+ARROW_BYTES = 8 << 20  # of a batch that goes to a Python worker
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session in bytes, not only in rows, where the user has set no bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**63 - 1))) >= 2**31 - 1:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def shared_path(spark: SparkSession) -> str:
     """A new folder in the shared folder of the cluster."""
     return f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
