@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,9 +34,9 @@ ARROW_BYTES = 8 << 20  # of a batch that goes to a Python worker
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session in bytes, not only in rows, where the user has set no bound."""
+    """Arrow batches of this session have at most ARROW_BYTES; a smaller bound stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, str(2**63 - 1))) >= 2**31 - 1:
+    if int(re.sub("[^0-9]", "", spark.conf.get(name))) > ARROW_BYTES:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
