@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("suffix_dedup", "token_output", "spot_signatures", "secrets", "toxicity", "decontamination", "mixing", "chosen_path", "warc", "quality", "merkle", "byte_bpe")
+MODULES = ("suffix_dedup", "token_output", "spot_signatures", "secrets", "toxicity", "decontamination", "mixing", "chosen_path", "warc", "quality", "merkle", "byte_bpe", "lexical_search")
 
 
 def load():
