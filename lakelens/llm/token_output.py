@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -13,7 +14,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.llm.base import documents, query, ranges, shared_path, texts
+from lakelens.llm.base import bounded_batches, documents, query, ranges, shared_path, slices, texts, utf8
+
+MEMORY = 24 << 20  # bytes of chunks, and of pieces, that a worker remembers
+SLICE = 2 << 20  # bytes of text that are encoded together
+STRIPE = 8 << 20  # bytes of an ORC stripe, which also bounds the writer's memory
 
 # str.split() cuts at these, the tokenizer does not
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -31,7 +36,12 @@ class _Codes(dict):
         return code
 
 
-# Chunks that the tokenizer's own pattern cuts into pieces as below; all others go to it whole.
+# The settings of a tokenizer file under which its chunks fall into pieces as below. With others all chunks go to it whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+# Chunks that this pattern cuts into pieces; all others go to the tokenizer whole.
 _PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
@@ -41,12 +51,14 @@ class _Table:
 
     def __init__(self):
         self.codes, self.lengths, self.starts, self.ids = _Codes(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.held = 0  # bytes, about
 
     def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         """The ids of the strings that were new, in the order of their numbers."""
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.held += 176 * len(lengths) + 2 * sum(map(len, self.codes.new)) + 4 * len(ids)
         self.codes.new = []
 
     def numbers(self, strings: list[str]) -> np.ndarray:
@@ -60,14 +72,18 @@ class ChunkEncoder:
     """Encodes texts with a tokenizers file whose tokens never cross white space, in lower case with word ends.
 
     The ids of a text are the ids of its white-space separated chunks, and those of a chunk the ids of its
-    pieces, so each distinct piece goes through the tokenizer once while it is remembered; ``most``
-    chunks and pieces are remembered, then the memory starts anew.
+    pieces, so each distinct piece goes through the tokenizer once while it is remembered; ``memory`` bytes of
+    chunks and as many of pieces are remembered, then that memory starts anew. Where the file's own settings are not
+    those that the pieces are cut by, or it asks for something before or after, whole texts go to the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
+        settings = json.loads(self.tokenizer.to_str())
+        cuts = {"type": "Sequence", "pretokenizers": [CUT, BYTES]}
+        self.known = settings["normalizer"] == NORMALIZER and settings["pre_tokenizer"] == cuts and not (settings["truncation"] or settings["padding"])
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -90,9 +106,9 @@ class ChunkEncoder:
 
     def learn(self) -> None:
         new = self.chunks.codes.new
-        if len(self.pieces.codes) > self.most:
+        if self.pieces.held > self.memory:
             self.pieces = _Table()
-        cuts = [_PIECES.findall(c.lower()) if _PLAIN.fullmatch(c) else [] for c in new]
+        cuts = [_PIECES.findall(c.lower()) if self.known and _PLAIN.fullmatch(c) else [] for c in new]
         codes = self.pieces.numbers(list(chain.from_iterable(cuts)))
         if self.pieces.codes.new:
             self.learn_pieces()
@@ -110,9 +126,9 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids by text); ``end_id`` closes each text."""
-        if len(self.chunks.codes) > self.most:
+        if self.chunks.held > self.memory:
             self.chunks = _Table()
-        found = [self.chunks.numbers(t.split() if not _SEPARATORS.search(t) else [t]) for t in texts]
+        found = [self.chunks.numbers(t.split() if self.known and not _SEPARATORS.search(t) else [t]) for t in texts]
         if self.chunks.codes.new:
             self.learn()
         codes = np.concatenate([*found, np.zeros(0, np.int64)])
@@ -141,23 +157,25 @@ def _encoder(path: str) -> ChunkEncoder:
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, shards: int | None = None, batch: int = 256) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, shards: int | None = None, stripe: int = STRIPE) -> None:
     """Encode whole texts and write their ids to ORC files in ascending order of doc_id.
 
     Null texts are empty (only the end id is written), null ids come first, equal ids are ordered by text.
     Each file has a shard number and the token position of each document within the shard, so positions
-    in the whole corpus need one small sum by shard. Rows are range-partitioned by id and text hash, which
-    also spreads a repeated id.
+    in the whole corpus need one small sum by shard. Rows are range-partitioned by id, text hash and their place in the
+    input, so neither a repeated id nor equal rows fill one range; equal rows are written as often as they are there.
+    Texts of any length are encoded whole. Stripes are of about ``stripe`` bytes, so that a file has several.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange(shards, "doc_id", "h") if shards else rows.repartitionByRange("doc_id", "h")
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"h": F.xxhash64("text"), "salt": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(shards, "doc_id", "h", "salt") if shards else rows.repartitionByRange("doc_id", "h", "salt")
     rows = rows.sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def encode(batches):
         encoder, start, shard = _encoder(tokenizer), 0, TaskContext.get().partitionId()
         for whole in batches:
-            for at in range(0, whole.num_rows, batch):
-                part = whole.slice(at, batch)
+            for i, j in slices(utf8(whole.column(1))[1], SLICE):
+                part = whole.slice(i, j - i)
                 ids, counts = encoder.encode(part.column(1).to_pylist(), end_id)
                 ends = np.cumsum(counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
@@ -168,7 +186,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                 start += int(counts.sum())
 
     out = rows.mapInArrow(encode, SCHEMA).write.option("orc.compress", "zstd").option("orc.create.index", "true")
-    out.option("orc.row.index.stride", "1000").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
+    out.option("orc.row.index.stride", "1000").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.stripe.size", str(stripe)).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
