@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.llm.base import documents, query, slices, utf8
+from lakelens.llm.base import bounded_batches, documents, packed, query, slices, utf8
 from lakelens.llm.terms import mixed, word_bounds, word_hashes
 from lakelens.operators.knn import connected_components
 from lakelens.plans.session import cut, lookup
@@ -243,6 +243,7 @@ def classes(docs: DataFrame) -> DataFrame:
     are counted, block by block. Work grows with the square of the number of *different* texts only within
     classes and dense buckets; copies of a text are one set throughout.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = docs.select("doc_id", F.md5("text").alias("t"), "text")
 
@@ -300,9 +301,14 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pipeline stage: of each class one document stays, the one with the smallest doc_id."""
+    """Pipeline stage: of each class one row stays, the one with the smallest doc_id (null last), then the smallest hash of its text.
+
+    Null and empty texts are one text; they and texts without words are near equal texts only. Of rows that repeat id and
+    text one stays. Texts of any length count whole, other columns may have any name, an empty table stays empty.
+    """
     first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "t")
-    keep = classes(docs).groupBy("class_key").agg(F.min(first).alias("f")).select("f.doc_id", "f.t").hint("merge")
-    left = docs.withColumn("__t", F.md5(F.coalesce("text", F.lit(""))))
-    rows = left.join(keep, left["doc_id"].eqNullSafe(keep["doc_id"]) & (left["__t"] == keep["t"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__t"]).select(*docs.columns)
+    keep = classes(docs).groupBy("class_key").agg(F.min(first).alias("f")).select(F.col("f.doc_id").alias("kept_id"), F.col("f.t").alias("kept_t")).hint("merge")
+    rows, back = packed(docs, ("doc_id", "text"))
+    rows = rows.withColumn("__t", F.md5(F.coalesce("text", F.lit(""))))
+    rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__t") == F.col("kept_t")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__t"]).select(*back)

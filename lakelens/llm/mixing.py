@@ -50,12 +50,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     if the document's hash lies below the source's threshold. Thresholds are nested: a larger target
     takes every document that a smaller one takes. They are found by histograms of hash prefixes: sum sizes by
     source and bucket, keep the buckets below the budget, and refine only the boundary bucket, to single hash values.
-    A boundary value itself is taken if this comes nearer to the budget. The hash is of (doc_id, text) and
-    does not depend on partitions, so reruns agree; repeated rows share a hash and go together. An empty
-    text has size 0 and may be taken or not. No document is sorted; a hot source is pre-aggregated in each task.
-    Columns of ``docs`` named size, source_size, target, copies, key or h are replaced.
+    Of the rows that share the boundary value (rows that repeat an id and text) as many are taken as come nearest to the
+    budget (``first_rows``). The hash is of (doc_id, text) and does not depend on partitions, so reruns agree: which of several
+    equal rows are taken may differ, how many not. An empty text has size 0 and may be taken or not. No document is sorted;
+    a hot source is pre-aggregated in each task. Null sources are a source of their own, null texts are empty, texts
+    are measured whole, and an empty table gives no rows. Columns of ``docs`` named size, source_size, target, copies, key, h,
+    whole, threshold, divided, take, chosen, place, part or before are replaced.
     """
-    reserved = {"size", "source_size", "target", "copies", "key", "h"}
+    reserved = {"size", "source_size", "target", "copies", "key", "h", "whole", "threshold", "divided", "take", "chosen", "place", "part", "before"}
     docs = measured(docs.drop(*[c for c in docs.columns if c.lower() in reserved]))
     docs = docs.withColumns({"key": source_key(), "h": F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - BITS * LEVELS)})
     slim = cut(docs.select("source", "key", "h", "size"))
@@ -91,12 +93,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         state = cut(state.where("docs <= 1").unionByName(inner).unionByName(covered))
         if state.where("docs > 1").isEmpty():
             break
-    # the boundary value is taken if that comes nearer to the budget
-    threshold = F.col("low") + F.when(2 * F.col("left") >= F.col("edge"), F.col("width")).otherwise(0)
-    plan = cut(plan.join(state.select("key", threshold.alias("threshold")), "key"))
-    rows = lookup(docs, plan.select("key", "source_size", "target", "whole", "threshold", "weight"), "key", "weight")
-    copies = F.col("whole") + (F.col("h") < F.col("threshold")).cast("long")
-    return rows.withColumn("copies", copies).drop("key", "h", "whole", "threshold")
+    # of the rows of a boundary value as many are taken as come nearest to the budget
+    take = F.when(F.col("docs") > 0, F.least("docs", F.floor(F.col("left") * F.col("docs") / F.col("edge") + 0.5))).otherwise(0)
+    threshold = F.col("low") + F.when(F.col("take") >= F.col("docs"), F.col("width")).otherwise(0)
+    state = state.withColumn("take", take).select("key", threshold.alias("threshold"), F.when((F.col("take") > 0) & (F.col("take") < F.col("docs")), F.col("low")).alias("divided"), "take")
+    plan = cut(plan.join(state, "key"))
+    rows = lookup(docs, plan.select("key", "source_size", "target", "whole", "threshold", "divided", "take", "weight"), "key", "weight")
+    is_divided = F.coalesce(F.col("h") == F.col("divided"), F.lit(False))
+    chosen = rows.where(~is_divided).withColumn("chosen", F.col("h") < F.col("threshold"))
+    if not plan.where("divided IS NOT NULL").isEmpty():
+        chosen = chosen.unionByName(first_rows(rows.where(is_divided)))
+    return chosen.withColumn("copies", F.col("whole") + F.col("chosen").cast("long")).drop("key", "h", "whole", "threshold", "divided", "take", "chosen")
+
+
+def first_rows(rows: DataFrame) -> DataFrame:
+    """Adds ``chosen`` to rows that share a hash within their source (key): ``take`` of them, whichever come first.
+
+    They are written with their place; the numbers of rows by task and source are summed, so the rows of one source, however
+    many, are counted by many tasks.
+    """
+    rows = cut(rows.withColumn("place", F.monotonically_increasing_id())).withColumn("part", F.shiftright("place", 33))
+    sizes = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")  # one row by task and source
+    rows = rows.join(sizes.select("key", "part", before.alias("before")), ["key", "part"])
+    number = F.row_number().over(Window.partitionBy("key", "part").orderBy("place")) + F.col("before")
+    return rows.withColumn("chosen", number <= F.col("take")).drop("place", "part", "before")
 
 
 def source_key():

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakelens.llm.base import documents, query, slices, utf8
+from lakelens.llm.base import bounded_batches, documents, packed, query, slices, utf8
 from lakelens.llm.terms import word_bounds, word_hashes
 from lakelens.llm.toxicity import held_out, training_rows
 from lakelens.sources.io import table
@@ -166,8 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 def score(docs: DataFrame, model: AttentionModel, out: str = "score") -> DataFrame:
     """Adds ``out`` to every row, in place of a column of that name; whole texts, null texts are empty (one passage without words).
 
-    No shuffle; the model is a few kB.
+    Rows that repeat are scored each, equal texts alike; other columns pass through. An empty table gives no rows. No shuffle; the model is a few kB.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(out)
     names = docs.columns
 
@@ -190,6 +191,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier does not reject."""
+    """Pipeline stage: the rows that the classifier does not reject, whole.
+
+    Null and empty texts are scored as one empty passage, long ones in all their passages. Equal texts fare alike, repeated
+    rows stay repeated, other columns may have any name, and an empty table stays empty.
+    """
     model = fit(docs, table(spark, folder, "labels").where(~held_out(0, 5)))
-    return score(docs, model, "__quality").where("__quality >= 0.3").select(*docs.columns)
+    rows, back = packed(docs, ("doc_id", "text"))
+    return score(rows, model, "__quality").where("__quality >= 0.3").select(*back)
