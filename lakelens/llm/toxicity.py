@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.llm.base import documents, query, slices, utf8
+from lakelens.llm.base import bounded_batches, documents, query, slices, utf8
 from lakelens.llm.terms import distinct_terms, segment_sums
 from lakelens.sources.io import table
 
@@ -18,26 +18,36 @@ from lakelens.sources.io import table
 class FactorizationMachine:
     """score = sigmoid(bias + sum w_i + 1/n * sum_{i<j} <v_i, v_j>) over the n known terms of a text.
 
-    Terms are words and word beginnings hashed to 2**bits numbers. Known are those in at least ``least``
-    training texts whose share among texts of either label is off by ``screen`` standard errors or more: both
-    parts of a telling pair are. The pair sum learns what two terms mean together, beyond their weights.
+    Terms are words and word beginnings hashed to 2**bits numbers. Known are all in at least ``least`` training
+    texts, also those that say nothing alone: the pair sum learns what two terms mean together, beyond their weights.
+    Weights and factors have normal priors, once for the whole of the training texts, so that rare terms cannot
+    remember their texts. The variances are ``spread_w`` and ``spread_v`` for terms whose own share of label 1 is off by
+    ``telling`` standard errors or more, and ``quiet_w`` and ``quiet_v`` for all others: those hardly speak
+    alone, but their factors stay free to find partners.
     """
 
     bits: int = 18
     factors: int = 8
     least: int = 4
-    screen: float = 3.0
-    epochs: int = 20
+    telling: float = 3.0
+    spread_w: float = 10.0
+    spread_v: float = 20.0
+    quiet_w: float = 1e-3
+    quiet_v: float = 0.3
+    epochs: int = 10
     batch: int = 128
     rate: float = 0.1
-    decay: float = 2e-4
     seed: int = 7
 
     def fit(self, terms: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> FactorizationMachine:
         rng, size = np.random.default_rng(self.seed), 1 << self.bits
-        n, share = np.bincount(terms, minlength=size), (labels.sum() + 1) / (len(labels) + 2)
-        hit = np.bincount(terms, np.repeat(labels, np.diff(bounds)), size)
-        self.known = (n >= self.least) & (np.abs(hit - n * share) >= self.screen * np.sqrt(np.maximum(n, 1) * share * (1 - share)))
+        often = np.bincount(terms, minlength=size)
+        self.known, prior = often >= self.least, (1 / np.maximum(often, 1)).astype(np.float32)
+        share = (labels.sum() + 1) / (len(labels) + 2)
+        off = np.abs(np.bincount(terms, np.repeat(labels, np.diff(bounds)), size) - often * share)
+        z = off / np.sqrt(np.maximum(often, 1) * share * (1 - share))
+        tight_w = (1 / np.where(z >= self.telling, self.spread_w, self.quiet_w)).astype(np.float32)
+        tight_v = (1 / np.where(z >= self.telling, self.spread_v, self.quiet_v)).astype(np.float32)
         self.w, self.bias = np.zeros(size, np.float32), float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
         self.v = np.where(self.known[:, None], rng.normal(0, 0.05, (size, self.factors)), 0).astype(np.float32)
         seen_w, seen_v, seen_b = np.full(size, 1e-2, np.float32), np.full((size, self.factors), 1e-2, np.float32), 1e-2
@@ -54,9 +64,11 @@ class FactorizationMachine:
                 error = 1 / (1 + np.exp(-raw)) - labels[pick]
                 per_term = np.repeat(error, n).astype(np.float32)
                 pair = (np.repeat(error / np.maximum(n, 1), n).astype(np.float32))[:, None] * (np.repeat(sums, n, axis=0) - self.v[ids])
-                terms_here, place = np.unique(ids, return_inverse=True)
-                gw = np.bincount(place, per_term, len(terms_here)).astype(np.float32) + self.decay * len(pick) * self.w[terms_here]
-                gv = np.stack([np.bincount(place, pair[:, f], len(terms_here)) for f in range(self.factors)], 1).astype(np.float32) + self.decay * len(pick) * self.v[terms_here]
+                terms_here, place, times = np.unique(ids, return_inverse=True, return_counts=True)
+                part = prior[terms_here] * times  # of the prior that falls to this batch
+                gw = np.bincount(place, per_term, len(terms_here)).astype(np.float32) + part * tight_w[terms_here] * self.w[terms_here]
+                order_here = np.argsort(place, kind="stable")
+                gv = segment_sums(pair[order_here], np.append(0, np.cumsum(times))) + (part * tight_v[terms_here])[:, None] * self.v[terms_here]
                 seen_w[terms_here] += gw * gw
                 seen_v[terms_here] += gv * gv
                 self.w[terms_here] -= self.rate * gw / np.sqrt(seen_w[terms_here])
@@ -124,8 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """(doc_id, score) of every whole text; null and empty texts have no terms and get the bias.
 
+    Texts of any length count whole. Rows that repeat an id are scored each, equal texts alike; ids may be null, other
+    columns are ignored, and an empty table gives no rows.
     The model is one array of 2**bits weights and factors (9 MB), sent to the tasks as a broadcast; there is no shuffle.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
