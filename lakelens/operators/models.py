@@ -18,7 +18,7 @@ from pyspark.ml import regression as R
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import functions as F
 
 from lakelens.functions.columns import col
@@ -231,18 +231,53 @@ def regressors(n_rows: int, n_cols: int) -> dict[str, Spec]:
     return {s.name: s for s in specs}
 
 
-class KNeighboursModel(Model, _Io):
-    def __init__(self, train, k, p, task):
+class _NeighboursWriter(MLWriter):
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        m = self.model
+        DefaultParamsWriter.saveMetadata(m, path, self.sparkSession, extraMetadata={"k": m.k, "p": m.p, "task": m.task})
+        m.train.write.mode("overwrite").parquet(f"{path}/train")
+
+
+class _NeighboursReader(MLReader):
+    def load(self, path: str):
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        m = KNeighboursModel(self.sparkSession.read.parquet(f"{path}/train"), metadata["k"], metadata["p"], metadata["task"])
+        m._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(m, metadata)
+        return m
+
+
+class KNeighboursModel(Model, _Io, MLWritable, MLReadable):
+    """Owns the table of training vectors; ``write()`` stores it with the model.
+
+    Each distinct vector is answered once, and its answer goes to its rows by the vector itself (``lookup``), so neither
+    a vector that many rows share nor two vectors with one hash do harm.
+    """
+
+    def __init__(self, train=None, k=5, p=2, task="classification"):
         super().__init__()
         self.train, self.k, self.p, self.task = train, k, p, task
 
+    def write(self):
+        return _NeighboursWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _NeighboursReader()
+
     def _transform(self, df):
         from lakelens.operators.knn import knn_predict
+        from lakelens.plans.session import BROADCAST_VECTORS, cut, lookup
 
-        rows = df.withColumn("__row", F.xxhash64(as_array(df, self.getFeaturesCol())))
-        queries = rows.select("__row", as_array(rows, self.getFeaturesCol()).alias("__v")).dropDuplicates(["__v"])
-        got = knn_predict(self.train, queries, "__row", "__v", "label", self.k, self.p, self.task, self.getPredictionCol())
-        return rows.join(got.withColumn(self.getPredictionCol(), col(self.getPredictionCol()).cast("double")), "__row").drop("__row")
+        rows = df.withColumn("__v", as_array(df, self.getFeaturesCol()))
+        distinct = cut(rows.groupBy("__v").agg(F.count("*").alias("__n")).withColumn("__row", F.monotonically_increasing_id()))
+        got = knn_predict(self.train, distinct, "__row", "__v", "label", self.k, self.p, self.task, self.getPredictionCol())
+        answers = distinct.join(got.withColumn(self.getPredictionCol(), col(self.getPredictionCol()).cast("double")), "__row").drop("__row")
+        return lookup(rows, cut(answers), "__v", "__n", BROADCAST_VECTORS).drop("__v")
 
 
 class KNeighbours(Estimator, _Io):

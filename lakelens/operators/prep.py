@@ -1,7 +1,7 @@
 """Imputation, scaling and encoding as pyspark.ml estimators plus plain column functions.
 
 Each estimator learns a handful of numbers or category lists per column with one or two aggregates and
-keeps them as Params, so fitted pipelines save and load with the standard writer.
+keeps them as Params; long lists of levels are tables that the model owns. Both are saved and loaded with a pipeline.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakelens.functions.columns import col, is_missing, number, roles, text
 from lakelens.plans.quantiles import exact_quantiles
+from lakelens.plans.ranking import numbered
+from lakelens.plans.session import BROADCAST_ROWS, cut
 
 # Option names.
 NUM_IMPUTATION = ("mean", "median", "most_frequent", "miss_forest", "mice_forest", None)
@@ -134,57 +136,65 @@ def scale_parameters(df: DataFrame, columns: list[str], method: str) -> dict[str
     raise ValueError(f"unknown scaler {method}")
 
 
-def category_levels(df: DataFrame, columns: list[str], min_share: float = 0.05, limit: int = 10_000) -> dict[str, dict]:
-    """Per column the kept categories (sorted), the rare ones and whether it is binary.
+INLINE_LEVELS = 1_000  # levels that are written into expressions; longer lists are tables
 
-    Categories below ``min_share`` of the rows are pooled, so at most 1/min_share are kept; the rare list
-    itself never leaves the executors: a value that is not kept and not missing is rare or unknown, and
-    unknown values are told apart by a lookup only when the column has few levels.
+
+def category_levels(df: DataFrame, columns: list[str], min_share: float = 0.05) -> tuple[dict[str, dict], dict[str, DataFrame]]:
+    """Per column the kept categories (sorted) and the rare ones, and tables of the rare ones where they are many.
+
+    Categories below ``min_share`` of the rows are pooled, so at most 1/min_share are kept. Up to INLINE_LEVELS rare ones
+    are a list; more stay a written table (value, n), so that a rare value is told from an unknown one at every size.
     """
     from lakelens.operators.profile import value_counts
 
-    counts = value_counts(df, columns, keep_missing=False)
+    counts = cut(value_counts(df, columns, keep_missing=False))
     total = df.count()
-    summary = (
-        counts.groupBy("variable")
-        .agg(
-            F.count("*").alias("levels"),
-            F.collect_list(F.when(F.col("n") >= min_share * total, F.col("value"))).alias("kept"),
-            F.sum(F.when(F.col("n") < min_share * total, 1).otherwise(0)).alias("rare"),
-        )
-        .collect()
+    kept = F.col("n") >= min_share * total
+    summary = counts.groupBy("variable").agg(
+        F.count("*").alias("levels"), F.collect_list(F.when(kept, F.col("value"))).alias("kept"), F.sum(F.when(kept, 0).otherwise(1)).alias("rare")
     )
-    small = [r["variable"] for r in summary if 0 < r["rare"] <= limit]
-    rare: dict[str, list[str]] = {c: [] for c in columns}
-    if small:
-        for row in counts.where(F.col("variable").isin(small) & (F.col("n") < min_share * total)).collect():
-            rare[row["variable"]].append(row["value"])
-    out = {}
-    for r in summary:
-        c = r["variable"]
-        out[c] = {"kept": sorted(r["kept"]), "rare": sorted(rare[c]), "levels": r["levels"], "open": r["rare"] > limit}
-    for c in columns:
-        out.setdefault(c, {"kept": [], "rare": [], "levels": 0, "open": False})
-    return out
-
-
-def one_hot_columns(df: DataFrame, column: str, spec: dict) -> dict[str, object]:
-    """{<column>_<category>: 0/1}; the first of two categories is dropped, rare ones share one column,
-    unknown values give all zeros (for a column with very many levels every other value counts as rare)."""
-    c = text(df, column)
-    names = list(spec["kept"])
-    has_rare = bool(spec["rare"]) or spec["open"]
-    levels = names + ([RARE] if has_rare else [])
+    found = {r["variable"]: r for r in summary.collect()}
+    out = {c: {"kept": sorted(found[c]["kept"]) if c in found else [], "rare": [], "levels": found[c]["levels"] if c in found else 0, "has_rare": c in found and found[c]["rare"] > 0} for c in columns}
+    few = [c for c in columns if out[c]["has_rare"] and found[c]["rare"] <= INLINE_LEVELS]
+    if few:
+        for row in counts.where(F.col("variable").isin(few) & ~kept).collect():
+            out[row["variable"]]["rare"].append(row["value"])
+    for c in few:
+        out[c]["rare"].sort()
+    many = [c for c in columns if out[c]["has_rare"] and c not in few]
+    return out, {c: cut(counts.where((F.col("variable") == c) & ~kept).select("value", "n")) for c in many}
+
+
+def _flag(df: DataFrame, value, skip, table: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``df`` with the columns ``names`` of the row of ``table`` whose value equals ``value``, null where there is none.
+
+    A table of at most BROADCAST_ROWS rows is broadcast. Beyond that only rows for which ``skip`` does not hold are shuffled.
+    """
+    table = table.select(F.col("value").alias("__level"), *[F.col(a).alias(b) for a, b in names.items()])
+    if table.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), value == F.col("__level"), "left").drop("__level")
+    rest = F.coalesce(skip, F.lit(True))
+    joined = df.where(~rest).join(table, value == F.col("__level"), "left").drop("__level")
+    return df.where(rest).withColumns({b: F.lit(None).cast(table.schema[b].dataType) for b in names.values()}).unionByName(joined)
+
+
+def one_hot(df: DataFrame, column: str, spec: dict, rare: DataFrame | None = None) -> DataFrame:
+    """Adds <column>_<category> as 0/1; the first of two categories is dropped, rare ones share one column and
+    values that were unknown at fit time give all zeros, however many levels there are."""
+    c, names = text(df, column), list(spec["kept"])
+    levels = names + ([RARE] if spec["has_rare"] else [])
     if len(levels) == 2:
         levels = levels[1:]
     out = {}
     for v in levels:
-        if v == RARE and has_rare:
-            hit = c.isNotNull() & (~c.isin(names) if spec["open"] else c.isin(spec["rare"]))
+        if v == RARE and spec["has_rare"]:
+            hit = F.col("__rare").isNotNull() if rare is not None else c.isin(spec["rare"])
         else:
             hit = c.eqNullSafe(F.lit(v))
         out[f"{column}_{v}"] = F.when(hit, 1.0).otherwise(0.0)
-    return out
+    if rare is not None:
+        df = _flag(df, c, c.isNull() | c.isin(names), rare, {"n": "__rare"})
+    return df.withColumns(out).drop("__rare")
 
 
 # ---------------------------------------------------------------- estimators
@@ -197,12 +207,41 @@ class _Columns(Params):
         return self.getOrDefault(self.inputCols)
 
 
+class _FittedWriter(DefaultParamsWriter):
+    def saveImpl(self, path: str) -> None:
+        m = self.instance
+        DefaultParamsWriter.saveMetadata(m, path, self.sparkSession, extraMetadata={"tables": list(m.tables)})
+        for i, t in enumerate(m.tables.values()):
+            t.write.mode("overwrite").parquet(f"{path}/tables/{i}")
+
+
+class _FittedReader(DefaultParamsReader):
+    def load(self, path: str):
+        m = super().load(path)
+        names = DefaultParamsReader.loadMetadata(path, self.sparkSession).get("tables", [])
+        m.tables = {c: self.sparkSession.read.parquet(f"{path}/tables/{i}") for i, c in enumerate(names)}
+        return m
+
+
 class _Fitted(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):
+    """Learned values as a Param, and tables of them by column where they are many; both are saved."""
+
     fitted = Param(Params._dummy(), "fitted", "learned values per column", typeConverter=TypeConverters.identity)
 
+    def __init__(self):
+        super().__init__()
+        self.tables: dict[str, DataFrame] = {}
+
     def learned(self):
         return self.getOrDefault(self.fitted)
 
+    def write(self):
+        return _FittedWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _FittedReader(cls)
+
 
 class _Learner(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):
     method = Param(Params._dummy(), "method", "method name", typeConverter=TypeConverters.toString)
@@ -212,9 +251,10 @@ class _Learner(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
-    def _model(self, cls, values):
+    def _model(self, cls, values, tables=None):
         m = cls()
         m._set(inputCols=self._names(), fitted=values)
+        m.tables = tables or {}
         return m
 
 
@@ -263,20 +303,19 @@ class OneHotModel(_Fitted):
         names = []
         for c in self._names():
             spec = self.learned()[c]
-            levels = list(spec["kept"]) + ([RARE] if spec["rare"] or spec["open"] else [])
+            levels = list(spec["kept"]) + ([RARE] if spec["has_rare"] else [])
             names += [f"{c}_{v}" for v in (levels[1:] if len(levels) == 2 else levels)]
         return names
 
     def _transform(self, df):
-        out = {}
         for c in self._names():
-            out.update(one_hot_columns(df, c, self.learned()[c]))
-        return df.withColumns(out) if out else df
+            df = one_hot(df, c, self.learned()[c], self.tables.get(c))
+        return df
 
 
 class OneHot(_Learner):
     def _fit(self, df):
-        return self._model(OneHotModel, category_levels(df, self._names()))
+        return self._model(OneHotModel, *category_levels(df, self._names()))
 
 
 class AssemblerModel(_Fitted):
@@ -299,36 +338,47 @@ class Assembler(_Learner):
 
 
 class LevelsModel(_Fitted):
-    """Ordinal codes of sorted labels; ``decode`` gives the labels back."""
+    """Ordinal codes of sorted labels; ``decode`` gives the labels back. Unknown and missing labels have no code."""
 
     def _transform(self, df):
-        out = {}
         for c in self._names():
-            levels = self.learned()[c]
-            code = F.array_position(F.array(*[F.lit(v) for v in levels]), text(df, c))
-            out[f"{c}_code"] = F.when(code > 0, (code - 1).cast("int"))
-        return df.withColumns(out)
+            table, levels = self.tables.get(c), self.learned().get(c, [])
+            if table is not None:
+                v = text(df, c)
+                df = _flag(df, v, v.isNull(), table, {"code": f"{c}_code"})
+            else:
+                code = F.array_position(F.array(*[F.lit(v) for v in levels]).cast("array<string>"), text(df, c))
+                df = df.withColumn(f"{c}_code", F.when(code > 0, (code - 1).cast("int")))
+        return df
 
     def decode(self, df, column: str, code: str, out: str):
-        levels = F.array(*[F.lit(v) for v in self.learned()[column]])
+        table = self.tables.get(column)
+        if table is not None:
+            labels = table.select(F.col("code").cast("string").alias("value"), F.col("value").alias("label"))
+            k = col(code).cast("int").cast("string")
+            return _flag(df, k, k.isNull(), labels, {"label": out})
+        levels = F.array(*[F.lit(v) for v in self.learned()[column]]).cast("array<string>")
         return df.withColumn(out, F.get(levels, col(code).cast("int")))
 
 
 class Levels(_Learner):
-    """Sorted labels -> 0..k-1. The label list is kept in the model, so it must be short."""
-
-    MAX_LEVELS = 10_000
+    """Sorted labels -> 0..k-1. Up to INLINE_LEVELS labels are a list in the model; more are a table that it owns."""
 
     def _fit(self, df):
         from lakelens.operators.profile import value_counts
 
+        counts = cut(value_counts(df, self._names(), keep_missing=False).select("variable", "value"))
+        sizes = {r["variable"]: r["k"] for r in counts.groupBy("variable").agg(F.count("*").alias("k")).collect()}
         seen: dict[str, list[str]] = {c: [] for c in self._names()}
-        rows = value_counts(df, self._names()).select("variable", "value").limit(self.MAX_LEVELS * len(seen) + 1).collect()
-        if len(rows) > self.MAX_LEVELS * len(seen):
-            raise ValueError(f"more than {self.MAX_LEVELS} labels; use StringIndexer for such columns")
-        for row in rows:
+        few = [c for c in seen if sizes.get(c, 0) <= INLINE_LEVELS]
+        for row in counts.where(F.col("variable").isin(few)).collect() if few else []:
             seen[row["variable"]].append(row["value"])
-        return self._model(LevelsModel, {c: sorted(v) for c, v in seen.items()})
+        tables = {}
+        for c in seen:
+            if c not in few:
+                codes = numbered(counts.where(F.col("variable") == c).select("value"), ["value"], "code")
+                tables[c] = cut(codes.withColumn("code", F.col("code").cast("int")))
+        return self._model(LevelsModel, {c: sorted(v) for c, v in seen.items()}, tables)
 
 
 def data_preprocessing(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.functions.columns import col, number
-from lakelens.plans.session import BROADCAST_NUMBERS, lookup
+from lakelens.plans.session import BROADCAST_NUMBERS, cut, lookup
 
 STEP = 64
 MIN_RANGES, MAX_RANGES = 4, STEP * STEP
@@ -147,3 +147,19 @@ def shuffled_row_number(
         .withColumn(out, (F.col("__o") + F.col("__l")).cast("long"))
         .drop("__h", "__b", "__kb", "__o", "__l", *[f"__k_{b}" for b in by])
     )
+
+
+def numbered(rows: DataFrame, by: list[str], out: str = "number") -> DataFrame:
+    """``rows`` with ``out``, their number from 0 in the order of ``by`` (any orderable columns, nulls first).
+
+    Rows are cut into sorted ranges and written with their place; the sizes of the ranges, one number for each, are added up.
+    Rows that agree in ``by`` spread over ranges by their place in the input.
+    """
+    rows = rows.withColumn("__salt", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*by, "__salt").sortWithinPartitions(*by, "__salt").drop("__salt")
+    rows = cut(rows.withColumn("__place", F.monotonically_increasing_id())).withColumn("__range", F.shiftright("__place", 33))
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")  # one row by range
+    first = F.broadcast(sizes.select("__range", before.alias("__before")))
+    number_ = F.col("__before") + F.col("__place").bitwiseAND((1 << 33) - 1)
+    return rows.join(first, "__range").withColumn(out, number_).drop("__range", "__place", "__before")

@@ -33,11 +33,24 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The result has a one-step lineage and survives the loss of executors. Unlike an RDD checkpoint the
-    input is computed only once, and later scans prune columns.
+    input is computed only once, and later scans prune columns. ``forget`` removes it.
     """
     path = f"{checkpoint_root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove what ``cut`` wrote for ``frames``. Call it once their successors are written: nothing may read them any more."""
+    for df in frames:
+        path = getattr(df, "_cut_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            df._cut_path = None
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

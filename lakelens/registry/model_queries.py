@@ -9,7 +9,7 @@ from lakelens.functions.columns import col, r
 from lakelens.operators import cv, explain, metrics, models, prep, selection, split
 from lakelens.operators.impute import ForestImputer
 from lakelens.plans.session import cut
-from lakelens.registry.base import LINE_ID, query, with_gaps
+from lakelens.registry.base import GAPS, LINE_ID, query, with_gaps
 from lakelens.sources.io import load_pipeline, save_pipeline, table
 
 BODY = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus"]
@@ -215,24 +215,54 @@ def _(spark, d):
 # ---------------------------------------------------------------- forest imputation
 
 
-def _imputed(spark, d, method, nums, cats):
-    rows = with_gaps(spark, d).select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    m = ForestImputer(nums=nums, cats=cats, method=method, rounds=1).fit(rows)
-    out = m.transform(rows)
-    return out.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count("l_tax").alias("n_tax"), F.min("l_tax").alias("lo"), F.max("l_tax").alias("hi"))
+GAPPY = ("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
-@query("f4_mice_forest")
+def _imputed(spark, d, method, nums, cats):
+    """Facts of every imputed column: cells that are still empty, that changed although they had a value, and filled cells out of the observed range or not among the observed values."""
+    rows = with_gaps(spark, d).select(*GAPPY)
+    m = ForestImputer(nums=nums, cats=cats, method=method).fit(rows)
+    out = cut(m.transform(rows.withColumns({f"old_{c}": F.col(c) for c in nums + cats})))
+    seen = rows.agg(*[F.struct(F.min(c), F.max(c)).alias(c) for c in nums + cats]).first()
+    total = lambda hit: F.coalesce(F.sum(hit.cast("long")), F.lit(0))
+    facts = None
+    for c in nums + cats:
+        gap, (lo, hi) = F.col(f"old_{c}").isNull(), seen[c]
+        values = rows.select(F.col(c).alias("v")).where("v IS NOT NULL").distinct()
+        filled = out.where(gap).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
+        unobserved = F.coalesce(F.sum("n"), F.lit(0)) if method == "mice_forest" or c in cats else F.lit(None).cast("long")
+        one = out.agg(
+            F.count("*").alias("n_rows"),
+            total(gap).alias("n_gaps"),
+            total(F.col(c).isNull()).alias("n_empty"),
+            total(~gap & ~F.col(c).eqNullSafe(F.col(f"old_{c}"))).alias("n_changed"),
+            total(gap & ((F.col(c) < lo) | (F.col(c) > hi))).alias("n_outside"),
+        )
+        one = one.select(F.lit(c).alias("variable"), "*").join(filled.join(values, "v", "left_anti").agg(unobserved.alias("n_unobserved")), F.lit(True))  # one row each
+        facts = one if facts is None else facts.unionByName(one)
+    return facts
+
+
+def _imputed_sql(nums, cats, mice):
+    parts = [
+        f"SELECT '{c}' AS variable, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_gaps, 0::BIGINT AS n_empty, 0::BIGINT AS n_changed, 0::BIGINT AS n_outside, "
+        f"{'0' if mice or c in cats else 'NULL'}::BIGINT AS n_unobserved FROM m"
+        for c in nums + cats
+    ]
+    return f"WITH {GAPS} " + " UNION ALL ".join(parts)
+
+
+@query("f4_mice_forest", _imputed_sql(["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"], True))
 def _(spark, d):
     return _imputed(spark, d, "mice_forest", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"])
 
 
-@query("f5_miss_forest_numeric")
+@query("f5_miss_forest_numeric", _imputed_sql(["l_quantity", "l_discount", "l_tax"], [], False))
 def _(spark, d):
     return _imputed(spark, d, "miss_forest", ["l_quantity", "l_discount", "l_tax"], [])
 
 
-@query("f6_miss_forest_categorical")
+@query("f6_miss_forest_categorical", _imputed_sql(["l_quantity"], ["l_returnflag", "l_linestatus"], False))
 def _(spark, d):
     return _imputed(spark, d, "miss_forest", ["l_quantity"], ["l_returnflag", "l_linestatus"])
 
