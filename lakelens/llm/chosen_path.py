@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ from lakelens.plans.session import cut, lookup
 SHINGLE = 5  # words
 LEAST = 0.8
 TOKENS = 64  # sampled tokens (minima of random orders) of each set
-RUNS = 10  # a pair of similarity s is missed by all runs of depth 1 with probability (1 - s) ** RUNS: 1e-7 at 0.8
-SLACK = 0.6  # share of equal sampled tokens below which a pair is not compared: 4 standard errors below LEAST
+RECALL = 0.999_999_8  # share of the pairs of similarity LEAST that the runs are to bring together
+SLACK = 0.5  # share of equal sampled tokens below which a pair is not compared: 6 standard errors below LEAST
 BUCKET = 512  # texts that are compared with each other in one task
 DENSE = 0.5  # mean similarity to a pivot from which splitting a bucket gains nothing
 DEPTH = 24
@@ -189,7 +190,21 @@ def in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.withColumns({"bucket": F.xxhash64("key", "p.i", "p.j"), "side": side}).drop("p", "block", "blocks")
 
 
-def buckets_of(sets: DataFrame) -> DataFrame:
+def runs_for(recall: float, similarity: float = LEAST) -> int:
+    """Runs that a pair of ``similarity`` needs: one run brings it together with that probability, all miss it with (1 - similarity) ** runs."""
+    if not 0 < recall < 1:
+        raise ValueError("recall must lie between 0 and 1")
+    return min(TOKENS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity) - 1e-9)))
+
+
+def expected_recall(runs: int, similarity: float) -> float:
+    """Share of the pairs of a similarity that meet in a run and share enough sampled tokens to be compared."""
+    need = math.ceil(SLACK * TOKENS)
+    seen = sum(math.comb(TOKENS, k) * similarity**k * (1 - similarity) ** (TOKENS - k) for k in range(need, TOKENS + 1))
+    return (1 - (1 - similarity) ** runs) * seen
+
+
+def buckets_of(sets: DataFrame, runs: int) -> DataFrame:
     """(bucket, t, side): small groups that together hold each similar pair with high probability.
 
     ``sets`` has (t, n, sig). Each run starts with one sampled token: sets that share it are a bucket. A
@@ -199,7 +214,7 @@ def buckets_of(sets: DataFrame) -> DataFrame:
     bucket is compared in pairs of blocks. Buckets with the same members are compared once.
     """
     token = lambda c: F.element_at("sig_a", c)
-    rows = sets.select("t", "n", F.explode(F.array(*[F.xxhash64(F.lit(r), token(F.lit(r + 1))) for r in range(RUNS)])).alias("key"))
+    rows = sets.select("t", "n", F.explode(F.array(*[F.xxhash64(F.lit(r), token(F.lit(r + 1))) for r in range(runs)])).alias("key"))
     small, large_parts = [], []
     for depth in range(DEPTH):
         rows = cut(rows)
@@ -232,15 +247,16 @@ def buckets_of(sets: DataFrame) -> DataFrame:
     return out
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links, n_text_links, t, class_key) for every row of ``docs``.
 
     Two texts are linked if the Jaccard similarity of their shingle sets is at least 0.8; equal texts are always
     linked. A class is what links connect, named by its smallest doc_id. ``n_links`` counts the other
     documents that a document is linked with (rows, copies included), ``n_text_links`` the different texts. Texts
     without words, null ones included, are linked with equal texts only. Rows that repeat a doc_id
-    are documents of their own; ``t`` is the MD5 of the text and ``class_key`` names the class also where ids are null. Candidates come from ``buckets_of``; links are exact, and within a class all
-    are counted, block by block. Work grows with the square of the number of *different* texts only within
+    are documents of their own; ``t`` is the MD5 of the text and ``class_key`` names the class also where ids are null. Candidates come from ``buckets_of``, in as many runs
+    as ``recall`` of the pairs of similarity 0.8 needs (``runs_for``; ``expected_recall`` is the estimate with the
+    comparison of sampled tokens, which misses 5e-9 of them). Links are exact, and within a class all are counted, block by block. Work grows with the square of the number of *different* texts only within
     classes and dense buckets; copies of a text are one set throughout.
     """
     bounded_batches(docs.sparkSession)
@@ -260,7 +276,7 @@ def classes(docs: DataFrame) -> DataFrame:
     counts = cut(rows.groupBy("t").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")))
     number = lambda k: F.conv(F.substring(F.hex("sig"), 8 * k + 1, 8), 16, 10).cast("long")
     sets = cut(rows.where("n > 0").dropDuplicates(["t"]).select("t", "n", "sig", F.array(*[number(k) for k in range(TOKENS)]).alias("sig_a")))
-    groups = cut(buckets_of(sets))
+    groups = cut(buckets_of(sets, runs_for(recall)))
     likely = grouped(groups.join(sets.select("t", "sig"), "t")).mapInArrow(likely_members, "bucket long, t string")
     likely = cut(likely)
 
