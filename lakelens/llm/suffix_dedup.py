@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.llm.base import documents, query, ranges, slices, utf8
+from lakelens.llm.base import bounded_batches, documents, query, ranges, slices, utf8
 from lakelens.llm.chosen_path import by_group, grouped
 from lakelens.llm.suffix_sort import suffix_arrays
 from lakelens.llm.terms import mixed
-from lakelens.plans.session import cut, lookup
+from lakelens.plans.session import cut, forget, lookup
 
 LENGTH = 200  # bytes of a repeat
 GRAM = 32  # bytes of an anchor; every string of LENGTH bytes holds one
@@ -201,12 +201,13 @@ def resolve(units: DataFrame) -> DataFrame:
 
     ``units`` has one row by (key, body): piece, anchor, low, high, n (how often it is there). Keys of one
     body need no sorting: its strings repeat if it is there twice. Keys of up to TOGETHER bodies are
-    sorted in one suffix array. Larger ones are halved until they are small or all bodies are the
+    sorted in one suffix array. ``units`` is written anew and then removed. Larger ones are halved until they are small or all bodies are the
     same, eight times at most, since a range of one string is its own core. So no task holds a large key.
     """
     sizes = units.groupBy("key").agg(F.count("*").alias("weight"))
     known = lookup(units, sizes.withColumn("bodies", F.col("weight")), "key", "weight")
     known = cut(known)
+    forget(units)  # nothing else reads them
     every = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("piece") - LENGTH + 1).alias("b")))
     one = known.where("bodies = 1").select("key", "body", F.when(F.col("n") > 1, every).otherwise(F.array().cast(RUNS)).alias("starts"))
     some = known.where(F.col("bodies").between(2, TOGETHER)).select(F.col("key").alias("bucket"), "body", "piece", "n")
@@ -245,6 +246,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     (``resolve``). So only places where texts begin or end to agree are sorted, whatever the size of the
     corpus. The same text in many documents is one text with a count.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = docs.select(F.unhex(F.md5("text")).alias("t"), "text")
 
@@ -264,6 +266,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     copies = docs.groupBy(F.unhex(F.md5("text")).alias("t")).agg(F.count("*").alias("copies"))
     whole = base.join(at.join(copies, "t").hint("merge"), "t").dropDuplicates(["t"])
     whole = cut(whole.select("t", "text", "copies", F.array_sort("at").alias("at")))
+    forget(places, shared)
 
     def around(batches):
         for batch in small(batches):
