@@ -51,6 +51,7 @@ def forget(*frames: DataFrame) -> None:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
             df._cut_path = None
+            spark._jvm.System.gc()  # the driver's cleaner then drops the shuffle files of steps that are over
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
