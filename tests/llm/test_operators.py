@@ -90,7 +90,7 @@ def test_tokens_of_odd_chunks_are_the_tokenizers_own():
     rnd = random.Random(3)
     parts = ["don't", "I'LL", "%'s", "É", "ß", "ẞ", "12a3", "日本", "é", "Σ", "İ", "<|endoftext|>", "\x1c", "\x85", "²", "_", "''s", "×", "ſ", "ŉ", " ", "\n", "|>", "ª", "ǅ"]
     texts = ["".join(rnd.choice(parts) + " " * (rnd.random() < 0.4) for _ in range(rnd.randint(0, 25))) for _ in range(500)]
-    encoder = token_output.ChunkEncoder(token_output.tokenizer_path(), most=100)
+    encoder = token_output.ChunkEncoder(token_output.tokenizer_path(), memory=100)
     for at in range(0, 500, 50):
         ids, counts = encoder.encode(texts[at : at + 50], None)
         want = [e.ids for e in encoder.tokenizer.encode_batch(texts[at : at + 50], add_special_tokens=False)]
