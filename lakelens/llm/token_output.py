@@ -186,7 +186,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                 start += int(counts.sum())
 
     out = rows.mapInArrow(encode, SCHEMA).write.option("orc.compress", "zstd").option("orc.create.index", "true")
-    out.option("orc.row.index.stride", "1000").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.stripe.size", str(stripe)).orc(path)
+    out.option("orc.row.index.stride", "1000").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.stripe.size", str(stripe)).option("orc.rows.between.memory.checks", "200").orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
