@@ -117,7 +117,7 @@ def test_forest_imputer_fills_everything(spark):
     rows = [(float(i % 10), None if i % 7 == 0 else float(2 * (i % 10)), None if i % 5 == 0 else ("lo" if i % 10 < 5 else "hi")) for i in range(300)]
     df = spark.createDataFrame(rows, "a double, b double, c string")
     for method in ("miss_forest", "mice_forest"):
-        out = ForestImputer(nums=["a", "b"], cats=["c"], method=method).fit(df).transform(df)
+        out = ForestImputer(nums=["a", "b"], cats=["c"], method=method, rounds=2).fit(df).transform(df)
         assert out.where("b IS NULL OR c IS NULL").count() == 0
         err = out.agg(F.avg(F.abs(F.col("b") - 2 * F.col("a")))).first()[0]
         assert err < 1.0
@@ -152,7 +152,7 @@ def test_tree_attributions_of_classifiers_and_categories(spark):
 
 def test_forest_imputation_of_many_categories(spark):
     df = spark.range(700).select((F.col("id") % 70).cast("double").alias("a"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("k"), F.col("id") % 70)).alias("c"))
-    out = ForestImputer(nums=["a"], cats=["c"], method="miss_forest").fit(df).transform(df)
+    out = ForestImputer(nums=["a"], cats=["c"], method="miss_forest", rounds=2).fit(df).transform(df)
     assert out.where("c IS NULL").isEmpty()
 
 
