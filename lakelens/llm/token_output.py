@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lakelens.llm.base import bounded_batches, documents, query, ranges, shared_path, slices, texts, utf8
 
-MEMORY = 64 << 20  # bytes of chunks, and of pieces, that a worker remembers
+MEMORY = 128 << 20  # bytes of chunks, and of pieces, that a worker remembers
 SLICE = 2 << 20  # bytes of text that are encoded together
 STRIPE = 8 << 20  # bytes of an ORC stripe, which also bounds the writer's memory
 
