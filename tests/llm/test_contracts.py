@@ -170,7 +170,7 @@ def test_recall_of_the_join(spark):
     rows = []
     for i in range(100):
         w = [word() for _ in range(100)]
-        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: rnd.choice([85, 86, 87])] + [word() for _ in range(13)]))]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: (k := rnd.choice([89, 90, 91]))] + [word() for _ in range(100 - k)]))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = plain_classes(rows)
     same([r[:4] for r in chosen_path.classes(df).collect()], want)
