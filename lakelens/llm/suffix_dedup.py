@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.llm.base import bounded_batches, documents, query, ranges, slices, utf8
+from lakelens.llm.base import bounded_batches, documents, query, ranges, shared_path, slices, utf8
 from lakelens.llm.chosen_path import by_group, grouped
 from lakelens.llm.suffix_sort import suffix_arrays
 from lakelens.llm.terms import mixed
@@ -19,7 +20,7 @@ LENGTH = 200  # bytes of a repeat
 GRAM = 32  # bytes of an anchor; every string of LENGTH bytes holds one
 SPAN = LENGTH - GRAM  # a string that holds the anchor at p starts in [p - SPAN, p]
 TOGETHER = 12  # different surroundings of an anchor that are sorted together
-BATCH = 2 << 20  # bytes of texts that are sorted side by side
+BATCH = 1 << 20  # bytes of texts that are sorted side by side
 SLICE = 1 << 20  # bytes whose anchors are found together
 
 _P = np.array([0x9E3779B97F4A7C15], np.uint64)
@@ -196,18 +197,20 @@ def name_of(piece: bytes, anchor: int) -> bytes:
     return hashlib.blake2b(bytes([anchor]) + piece, digest_size=16).digest()
 
 
-def resolve(units: DataFrame) -> DataFrame:
+def resolve(units: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """(key, body, starts): the repeated strings of each body, among all bodies with its key, as runs [a, b) of their starts.
 
     ``units`` has one row by (key, body): piece, anchor, low, high, n (how often it is there). Keys of one
     body need no sorting: its strings repeat if it is there twice. Keys of up to TOGETHER bodies are
-    sorted in one suffix array. ``units`` is written anew and then removed. Larger ones are halved until they are small or all bodies are the
+    sorted in one suffix array. Larger ones are halved until they are small or all bodies are the
     same, eight times at most, since a range of one string is its own core. So no task holds a large key.
+    ``units`` is written anew and then removed; ``spent`` gets the written steps that the caller may remove after the result.
     """
     sizes = units.groupBy("key").agg(F.count("*").alias("weight"))
     known = lookup(units, sizes.withColumn("bodies", F.col("weight")), "key", "weight")
     known = cut(known)
     forget(units)  # nothing else reads them
+    spent.append(known)
     every = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("piece") - LENGTH + 1).alias("b")))
     one = known.where("bodies = 1").select("key", "body", F.when(F.col("n") > 1, every).otherwise(F.array().cast(RUNS)).alias("starts"))
     some = known.where(F.col("bodies").between(2, TOGETHER)).select(F.col("key").alias("bucket"), "body", "piece", "n")
@@ -218,7 +221,10 @@ def resolve(units: DataFrame) -> DataFrame:
     parts = cut(many.mapInArrow(halves, HALVES))
     new = parts.groupBy("new_key", "new_body").agg(*[F.first(c).alias(c) for c in ("piece", "anchor", "low", "high")], F.sum("n").alias("n"))
     new = cut(new.withColumnsRenamed({"new_key": "key", "new_body": "body"}))
-    found = cut(resolve(new).where(F.size("starts") > 0).withColumnsRenamed({"key": "new_key", "body": "new_body"}))
+    inner = []
+    found = cut(resolve(new, inner).where(F.size("starts") > 0).withColumnsRenamed({"key": "new_key", "body": "new_body"}))
+    forget(*inner)
+    spent += [parts, found]
     weights = parts.groupBy("new_key", "new_body").agg(F.count("*").alias("weight"))
     found = found.join(weights, ["new_key", "new_body"]).withColumn("child", F.concat(F.hex("new_body"), F.hex("new_key"))).select("child", "starts", "weight")
     back = lookup(parts.select("key", "body", "shift", F.concat(F.hex("new_body"), F.hex("new_key")).alias("child")), found, "child", "weight", 0)
@@ -232,6 +238,20 @@ def small(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def different_texts(docs: DataFrame) -> DataFrame:
+    """(t, text, copies) of the different texts of LENGTH bytes and more, in a table with as many buckets of t as a shuffle has partitions.
+
+    Later joins on t move their other side to the texts, so texts are shuffled once. Copies are combined before that.
+    """
+    spark, path = docs.sparkSession, shared_path(docs.sparkSession)
+    rows = docs.where(F.octet_length("text") >= LENGTH).groupBy(F.unhex(F.md5("text")).alias("t")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    name = f"texts_{uuid.uuid4().hex}"
+    rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "t").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._cut_path = path
+    return out
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept_sha256) for every row of ``docs``: the bytes that repeats cover, and what is left.
 
@@ -248,45 +268,30 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = docs.select(F.unhex(F.md5("text")).alias("t"), "text")
+    whole = different_texts(docs)
 
     def find(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column("text"))
             for i, j in slices(offsets, SLICE):
                 at, h, first, last = anchors(data, offsets[i : j + 1])
-                row = np.searchsorted(offsets[i : j + 1], at, "right") - 1
-                names = batch.column(0).slice(i, j - i).take(pa.array(row))
-                columns = [pa.array((x - offsets[i + row]).astype(np.int32)) for x in (at, first, last)]
-                yield pa.RecordBatch.from_arrays([names, *columns, pa.array(h.view(np.int64))], names=["t", "at", "first", "last", "h"])
-
-    places = cut(base.where(F.octet_length("text") >= LENGTH).mapInArrow(find, "t binary, at int, first int, last int, h long"))
-    shared = cut(places.groupBy("h").agg(F.count("*").alias("weight")).where("weight > 1"))
-    at = lookup(places, shared, "h", "weight", 0).groupBy("t").agg(F.collect_set(F.struct("first", "last", "at")).alias("at"))
-    copies = docs.groupBy(F.unhex(F.md5("text")).alias("t")).agg(F.count("*").alias("copies"))
-    whole = base.join(at.join(copies, "t").hint("merge"), "t").dropDuplicates(["t"])
-    whole = cut(whole.select("t", "text", "copies", F.array_sort("at").alias("at")))
-    forget(places, shared)
-
-    def around(batches):
-        for batch in small(batches):
-            names, copies, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            data, offsets = utf8(batch.column(1))
-            out = [[] for _ in range(7)]
-            for k, (t, n, places) in enumerate(zip(names, copies, lists, strict=True)):
-                text = data[offsets[k] : offsets[k + 1]].tobytes()
-                grams = np.frombuffer(text, np.uint8)[np.array([p["at"] for p in places])[:, None] + np.arange(GRAM)]
-                keys = _row_hashes(grams)
-                for p, key in zip(places, keys.view(np.int64).tolist(), strict=True):
-                    piece = text[p["first"] : p["last"] + LENGTH]
-                    for column, value in zip(out, (key, name_of(piece, p["at"] - p["first"]), t, p["first"], p["last"], p["at"], n), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "body", "t", "first", "last", "at", "n"])
-
-    members = cut(whole.mapInArrow(around, "key long, body binary, t binary, first int, last int, at int, n long"))
-    bodies = members.groupBy("key", "body").agg(F.sum("n").alias("n"), F.min(F.struct("t", "first", "last", "at")).alias("o"), F.count("*").alias("rows"))
-    bodies = cut(bodies.select("key", "body", "n", "o.*", "rows"))
+                row, low = i + np.searchsorted(offsets[i : j + 1], at, "right") - 1, int(offsets[i])
+                raw = data[low : int(offsets[j])].tobytes()
+                pieces = zip((first - low).tolist(), (last - low + LENGTH).tolist(), (at - first).tolist(), strict=True)
+                bodies = pa.array([name_of(raw[a:b], k) for a, b, k in pieces], pa.binary())
+                places = [pa.array((x - offsets[row]).astype(np.int32)) for x in (first, last, at)]
+                names, copies = batch.column("t").take(pa.array(row)), batch.column("copies").take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), bodies, names, *places, copies], names=["key", "body", "t", "first", "last", "at", "n"])
+
+    places = cut(whole.mapInArrow(find, "key long, body binary, t binary, first int, last int, at int, n long"))
+    # two hashes of the body tell a key of one body from others
+    marks = places.select("key", "n", F.xxhash64("body").alias("x"), F.xxhash64(F.lit(1), "body").alias("y")).groupBy("key")
+    shared = marks.agg(F.count("*").alias("weight"), F.sum("n").alias("all"), ((F.min("x") == F.max("x")) & (F.min("y") == F.max("y"))).alias("alone"))
+    shared = cut(shared.where("all > 1").drop("all"))
+    bodies = lookup(places, shared, "key", "weight", 0).groupBy("key", "body", "alone")
+    bodies = bodies.agg(F.sum("n").alias("n"), F.min(F.struct("t", "first", "last", "at")).alias("o"), F.count("*").alias("rows"))
+    bodies = cut(bodies.select("key", "body", "alone", "n", "o.*", "rows"))
+    forget(shared)
 
     def owned(batches):
         """The pieces of the bodies that each text owns; one row by text comes in."""
@@ -301,12 +306,17 @@ def repeats(docs: DataFrame) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32()), strict=True)], names=["key", "body", "n", "piece", "anchor"])
 
-    owners = bodies.groupBy("t").agg(F.collect_list(F.struct("key", "body", "first", "last", "at", "n")).alias("owns"))
+    # the strings of a key of one body repeat, since it is there twice: no piece is needed
+    every = F.array(F.struct(F.lit(0).alias("a"), (F.col("last") - F.col("first") + 1).alias("b")))
+    lone = bodies.where("alone").select("body", every.alias("starts"), F.col("rows").alias("weight"))
+    owners = bodies.where("NOT alone").groupBy("t").agg(F.collect_list(F.struct("key", "body", "first", "last", "at", "n")).alias("owns"))
     units = whole.select("t", "text").join(owners, "t").mapInArrow(owned, "key long, body binary, n long, piece binary, anchor int")
     units = cut(units.select("*", F.lit(0).alias("low"), F.lit(SPAN).alias("high")))
-    found = cut(resolve(units).where(F.size("starts") > 0))
-    found = found.join(bodies.select("key", "body", "rows"), ["key", "body"]).select(F.concat(F.hex("body"), F.hex("key")).alias("name"), "starts", F.col("rows").alias("weight"))
-    hits = lookup(members.select(F.concat(F.hex("body"), F.hex("key")).alias("name"), "t", "first"), found, "name", "weight", 0)
+    spent = []
+    found = cut(resolve(units, spent).where(F.size("starts") > 0))
+    forget(*spent)
+    found = found.join(bodies.select("key", "body", "rows"), ["key", "body"]).select("body", "starts", F.col("rows").alias("weight"))
+    hits = lookup(places.select("body", "t", "first"), lone.unionByName(found), "body", "weight", 0)
     hits = hits.groupBy("t").agg(F.collect_list(F.struct("first", "starts")).alias("hits"))
 
     def strip(batches):
@@ -326,6 +336,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     schema = "t binary, spans array<struct<start: long, end: long>>, kept string, weight long"
     results = cut(whole.select("t", "text", "copies").join(hits, "t").mapInArrow(strip, schema))
+    forget(places, bodies, whole)
     rest = docs.select("doc_id", F.unhex(F.md5("text")).alias("t"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
     touched = lookup(rest, results, "t", "weight", 0)
     untouched = rest.join(results.select("t").hint("merge"), "t", "left_anti")
@@ -334,15 +345,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     return out.unionByName(untouched.select("doc_id", "n_bytes", none.alias("spans"), F.col("own").alias("kept_sha256")))
 
 
-def _row_hashes(grams: np.ndarray) -> np.ndarray:
-    """``gram_hashes`` of rows of GRAM bytes."""
-    h, width, power = grams.astype(np.uint64) + np.uint64(1), 1, _P
-    while width < GRAM:
-        h = h[:, ::2] * power + h[:, 1::2]
-        width, power = 2 * width, power * power
-    return mixed(h[:, 0])
-
-
 @query("op1_suffix_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     rows = repeats(documents(spark, folder))
