@@ -7,11 +7,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.llm.base import bounded_batches, documents, query, ranges, shared_path, slices, utf8
-from lakelens.llm.chosen_path import by_group, grouped
+from lakelens.llm.chosen_path import grouped
 from lakelens.llm.suffix_sort import suffix_arrays
 from lakelens.llm.terms import mixed
 from lakelens.plans.session import cut, forget, lookup
@@ -134,34 +135,42 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 RUNS = "array<struct<a: int, b: int>>"
-_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def runs_of(starts: np.ndarray) -> list[dict[str, int]]:
-    """Ascending starts as runs [a, b)."""
-    if not len(starts):
-        return []
-    edge = np.flatnonzero(np.diff(starts) > 1)
-    first, last = starts[np.append(0, edge + 1)], starts[np.append(edge, len(starts) - 1)] + 1
-    return [{"a": a, "b": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+def runs_of(found: list[np.ndarray]) -> pa.ListArray:
+    """The ascending starts of each body as runs [a, b)."""
+    sizes = np.array([len(f) for f in found], np.int64)
+    at, owner = np.concatenate([*found, np.zeros(0, np.int64)]), np.repeat(np.arange(len(found)), sizes)
+    new = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(owner, prepend=-1) > 0))
+    runs = [pa.array(x.astype(np.int32)) for x in (at[new], at[np.append(new[1:], len(at))[: len(new)] - 1] + 1)]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(found)))])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays(runs, ["a", "b"]))
 
 
 def solve(batches):
     """(key, body, runs of starts) of groups with at most TOGETHER bodies, in partitions sorted by key."""
 
     def flush(held):
-        found = repeated_starts([h["piece"].to_pylist() for h in held], [h["n"].to_numpy() for h in held])
-        keys = np.concatenate([h["bucket"].to_numpy() for h in held])
-        names = [b for h in held for b in h["body"].to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names, pa.binary()), pa.array([runs_of(s) for f in found for s in f], _RUNS)], names=["key", "body", "starts"])
+        rows = pa.Table.from_batches(held)
+        keys, pieces, n = rows["bucket"].to_numpy(), rows["piece"].to_pylist(), rows["n"].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
+        groups = list(zip(cuts[:-1], cuts[1:], strict=True))
+        found = repeated_starts([pieces[i:j] for i, j in groups], [n[i:j] for i, j in groups])
+        return pa.RecordBatch.from_arrays([pa.array(keys), rows["body"].combine_chunks(), runs_of([f for g in found for f in g])], names=["key", "body", "starts"])
 
     held, total = [], 0
-    for _, rows in by_group(batches):
-        held.append(rows)
-        total += rows["piece"].nbytes
-        if total > 4 * BATCH:
-            yield flush(held)
-            held, total = [], 0
+    for batch in (b for b in batches if b.num_rows):
+        if total > 4 * BATCH:  # a group may go on in the next batch
+            more = batch.column("bucket").to_numpy() != held[-1].column("bucket")[-1].as_py()
+            head = int(more.argmax()) if more.any() else batch.num_rows
+            held.append(batch.slice(0, head))
+            if head < batch.num_rows:
+                yield flush(held)
+                held, total, batch = [], 0, batch.slice(head)
+            else:
+                continue
+        held.append(batch)
+        total += batch.column("piece").nbytes
     if held:
         yield flush(held)
 
@@ -194,7 +203,7 @@ HALVES = "key long, body binary, new_key long, new_body binary, piece binary, an
 
 
 def name_of(piece: bytes, anchor: int) -> bytes:
-    return hashlib.blake2b(bytes([anchor]) + piece, digest_size=16).digest()
+    return xxhash.xxh3_128_digest(piece, anchor)
 
 
 def resolve(units: DataFrame, spent: list[DataFrame]) -> DataFrame:
@@ -320,13 +329,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     hits = hits.groupBy("t").agg(F.collect_list(F.struct("first", "starts")).alias("hits"))
 
     def strip(batches):
-        for batch in small(batches):
+        for batch in batches:
             data, offsets = utf8(batch.column("text"))
             spans, digests = [], []
-            for k, hits in enumerate(batch.column("hits").to_pylist()):
+            lists = batch.column("hits")
+            first, starts = lists.values.flatten()
+            a, b = (x.to_numpy() for x in starts.values.flatten())
+            ends = starts.offsets.to_numpy()
+            shift = np.repeat(first.to_numpy().astype(np.int64), np.diff(ends))
+            a, b = a[ends[0] : ends[-1]] + shift, b[ends[0] : ends[-1]] + shift + LENGTH - 1
+            cuts = ends[lists.offsets.to_numpy()] - ends[0]
+            for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 text = data[offsets[k] : offsets[k + 1]]
-                found = np.array(sorted((r["a"] + h["first"], r["b"] + h["first"] + LENGTH - 1) for h in hits for r in h["starts"]), np.int64).reshape(-1, 2)
-                low, high = merged(found[:, 0], found[:, 1])
+                order = np.argsort(a[i:j], kind="stable")
+                low, high = merged(a[i:j][order], b[i:j][order])
                 keep = np.ones(len(text), bool)
                 keep[ranges(low, high - low)] = False
                 spans.append([{"start": a, "end": b} for a, b in zip(low.tolist(), high.tolist(), strict=True)])
