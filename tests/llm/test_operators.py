@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,27 @@ def test_suffix_dedup_splits_large_keys(spark):
     same(got, [(i, n, tuple(s), k) for i, (n, s, k) in enumerate(plain_repeats(texts))])
 
 
+def test_solve_groups_across_batches(monkeypatch):
+    rng = np.random.default_rng(1)
+    keys = np.sort(rng.integers(0, 40, 150))
+    letters = lambda low, high, n: bytes(rng.integers(low, high, n).astype(np.uint8))
+    cores = [letters(65, 90, 230) for _ in range(40)]
+    pieces = [letters(65, 70, rng.integers(0, 60)) + cores[k] + letters(65, 70, rng.integers(0, 60)) for k in keys]
+    columns = [pa.array(keys), pa.array([bytes([i]) for i in range(150)], pa.binary()), pa.array(pieces, pa.binary()), pa.array(np.ones(150, np.int64))]
+    whole = pa.RecordBatch.from_arrays(columns, names=["bucket", "body", "piece", "n"])
+    often = {}
+    for k, p in zip(keys, pieces, strict=True):
+        for i in range(len(p) - 199):
+            often[k, p[i : i + 200]] = often.get((k, p[i : i + 200]), 0) + 1
+    want = [[i for i in range(len(p) - 199) if often[k, p[i : i + 200]] > 1] for k, p in zip(keys, pieces, strict=True)]
+    for batch in (10, 500, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+        for cuts in ([], [3, 3, 10, 11, 50, 90], list(range(1, 150))):
+            parts = (whole.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, 150], strict=True))
+            got = {r["body"][0]: [i for s in r["starts"] for i in range(s["a"], s["b"])] for out in suffix_dedup.solve(parts) for r in out.to_pylist()}
+            assert [got[i] for i in range(150)] == want
+
+
 def test_token_output(spark, docs, nothing, fixture_rows, tmp_path):
     from tokenizers import Tokenizer
 
