@@ -132,13 +132,13 @@ def _(spark, d):
 
 @query(
     "p8_merged_values",
-    r"""WITH v AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN replace(p_type, ' ', '-') ELSE p_type END AS value, count(*) AS n FROM part GROUP BY 1)
+    r"""WITH v AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '-') ELSE p_name END AS value, count(*) AS n FROM part GROUP BY 1)
 SELECT regexp_replace(strip_accents(value), '[^\p{L}\p{N}_]', '', 'g') AS cleaned, count(*) AS n_values, sum(n)::BIGINT AS n_rows FROM v
 GROUP BY 1 HAVING count(*) > 1""",
 )
 def _(spark, d):
-    varied = F.when(F.col("p_partkey") % 3 == 0, F.replace("p_type", F.lit(" "), F.lit("-"))).otherwise(F.col("p_type"))
-    return merged_values(table(spark, d, "part").select(varied.alias("p_type")), "p_type")
+    varied = F.when(F.col("p_partkey") % 3 == 0, F.replace("p_name", F.lit(" "), F.lit("-"))).otherwise(F.col("p_name"))
+    return merged_values(table(spark, d, "part").select(varied.alias("p_name")), "p_name")
 
 
 @query(
