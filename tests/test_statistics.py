@@ -146,3 +146,20 @@ def test_names_and_values(spark):
     assert [tuple(r) for r in clean_values(df).collect()] == [("SaoPaulo", "True"), (None, "False")]
     assert roles(df).cat == ["my.city", "b"]
     assert reshape.missing_indicators(df).columns == ["my.city", "b", "Missing_in_my.city"]
+
+
+def test_split_shuffles_each_row_once(spark):
+    from lakelens.operators.split import train_test_split
+
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "big").otherwise("small").alias("c"))  # two hot strata
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+            spark.conf.set(k, v)
+        parts = train_test_split(df, "c", ["id"])
+        plan = parts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" not in plan  # no join that brings a stratum to one task
+    assert {r["c"]: (r["n"], r["t"]) for r in parts.groupBy("c").agg(F.count("*").alias("n"), F.sum(F.col("is_train").cast("int")).alias("t")).collect()} == {"big": (2000, 1600), "small": (1000, 800)}
