@@ -245,3 +245,24 @@ def test_permutation_shap_query_covers_every_test_row(spark, folder):
     assert len(f) == n and set(f["n"]) == {len(names)}
     gap = f["prediction"] - f["s"]  # the mean prediction of the background, the same for every row
     assert gap.max() - gap.min() < 1e-6 * abs(gap.mean())
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted", "classes"])
+def test_permutation_attributions_of_trees_need_no_coalition_rows(spark, monkeypatch, kind):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    df, _, _ = linear_data(spark)
+    if kind == "classes":
+        m, target = RandomForestClassifier(numTrees=4, maxDepth=3, seed=1).fit(df.withColumn("label", (F.col("label") > 0).cast("double"))), 1
+    else:
+        m, target = (RandomForestRegressor(numTrees=4, maxDepth=4, seed=1) if kind == "forest" else GBTRegressor(maxIter=3, maxDepth=3, seed=1)).fit(df), None
+    some, bg = df.where("id < 6").unionByName(df.where("id = 2")), df.where("id >= 500")
+    names = ["a", "b", "c"]
+    args = (m, some, "id", names, bg, target, 2)
+    got = explain.permutation_shap(*args)
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()  # no row by coalition and background row
+    found = {(r["id"], r["feature"]): r["shap"] for r in got.collect()}
+    monkeypatch.setattr(explain, "_is_tree_sum", lambda *a: False)
+    plain = {(r["id"], r["feature"]): r["shap"] for r in explain.permutation_shap(*args).collect()}
+    assert found.keys() == plain.keys() and len(found) == 18
+    assert all(found[k] == pytest.approx(plain[k], abs=1e-9) for k in plain)
