@@ -134,3 +134,21 @@ def test_pairwise_silhouette_has_a_limit(spark):
     df, _ = cloud(spark)
     with pytest.raises(ValueError):
         knn.silhouette_blocks(df.withColumn("g", F.lit("a")), "id", "features", "g", limit=10)
+
+
+def test_pairwise_silhouette_has_no_limit_of_its_own(spark, monkeypatch):
+    import inspect
+
+    assert inspect.signature(knn.silhouette_blocks).parameters["limit"].default is None
+    monkeypatch.setattr(knn, "BLOCK", 64)  # several blocks on each side
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(150, 3)) + 1e4, rng.normal(size=(60, 3)) + 1e4 + 3])
+    x[1] = x[0]
+    x[2] = x[0] + 1e-7
+    g = np.array([0] * 150 + [1] * 60)
+    df = spark.createDataFrame([(i, [float(a) for a in v], int(k)) for i, (v, k) in enumerate(zip(x, g))], "id long, features array<double>, g int")
+    got = {r["id"]: r["s"] for r in knn.silhouette_blocks(df, "id", "features", "g").collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for i in range(len(x)):
+        a, b = d[i, g == g[i]].sum() / ((g == g[i]).sum() - 1), d[i, g != g[i]].mean()
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-7)
