@@ -94,7 +94,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         if state.where("docs > 1").isEmpty():
             break
     # of the rows of a boundary value as many are taken as come nearest to the budget
-    take = F.when(F.col("docs") > 0, F.least("docs", F.floor(F.col("left") * F.col("docs") / F.col("edge") + 0.5))).otherwise(0)
+    nearest = F.least("docs", F.floor(F.col("left") * F.col("docs") / F.col("edge") + 0.5))
+    take = F.when(F.col("edge") > 0, nearest).otherwise(F.col("docs"))  # a lone row without words has no size to divide by
     threshold = F.col("low") + F.when(F.col("take") >= F.col("docs"), F.col("width")).otherwise(0)
     state = state.withColumn("take", take).select("key", threshold.alias("threshold"), F.when((F.col("take") > 0) & (F.col("take") < F.col("docs")), F.col("low")).alias("divided"), "take")
     plan = cut(plan.join(state, "key"))

@@ -401,3 +401,11 @@ def test_training_rows_take_one_row_of_each_id(spark):
     assert sorted((r["doc_id"], r["y"]) for r in got) == [(1, 1), (2, 0)]
     again = toxicity.training_rows(docs.repartition(2), labels, "toxic", 10).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_mixing_takes_a_lone_row_without_words(spark):
+    # its source has size 0, which nothing may be divided by
+    rows = [(1, "a b c", "x"), (2, "d e", "x"), (3, None, None), (4, " ", "y")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: (r.size, r.source_size, r.target) for r in got if r.source != "x"} == {3: (0, 0, 0.0), 4: (0, 0, 0.0)}
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4] and max(r.copies for r in got) <= 2
