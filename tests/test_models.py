@@ -4,6 +4,8 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
@@ -266,3 +268,57 @@ def test_permutation_attributions_of_trees_need_no_coalition_rows(spark, monkeyp
     plain = {(r["id"], r["feature"]): r["shap"] for r in explain.permutation_shap(*args).collect()}
     assert found.keys() == plain.keys() and len(found) == 18
     assert all(found[k] == pytest.approx(plain[k], abs=1e-9) for k in plain)
+
+
+@pytest.mark.parametrize("task", ["binary", "regression"])
+def test_rbf_machine_agrees_with_the_linear_learners_and_stores_no_fourier_features(spark, task):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 2))
+    y = np.sin(2 * x[:, 0]) + x[:, 1] ** 2 + rng.normal(0, 0.1, len(x))
+    y = (y > 0.8).astype(float) if task == "binary" else y
+    df = spark.createDataFrame([([float(a) for a in v], float(b)) for v, b in zip(x, y)], "v array<double>, label double").select(array_to_vector("v").alias("features"), "label").repartition(3).persist()
+    specs = models.classifiers(len(x), 2, True, 2) if task == "binary" else models.regressors(len(x), 2)
+    lifted = []
+    real = models._blocks
+    models._blocks = lambda rows, most: lifted.append(rows.columns) or real(rows, most)
+    try:
+        got = specs["SVM_R"].build(gamma=0.3).fit(df)
+    finally:
+        models._blocks = real
+    assert lifted == [["x", "y"]]  # the former learners kept 200 numbers for each row
+    wide = models.FourierFeatures(gamma=0.3).transform(df)
+    if task == "binary":
+        old = LinearSVC(regParam=1 / len(x), featuresCol="fourier", maxIter=100).fit(wide)
+    else:
+        old = LinearRegression(loss="huber", epsilon=1.35, regParam=1 / len(x), featuresCol="fourier").fit(wide)
+    w, b = models._waves(2, 200, 0.3)
+    z = np.sqrt(2 / 200) * np.cos(x @ w + b)
+
+    def objective(coefficients, constant):
+        f = z @ coefficients + constant
+        penalty = 0.5 / len(x) * ((coefficients * z.std(0, ddof=1)) ** 2).sum()
+        if task == "binary":
+            return np.maximum(0, 1 - (2 * y - 1) * f).mean() + penalty
+        r = np.abs(y - f)
+        return penalty + min(0.5 * np.where(r <= 1.35 * s, s + r * r / s, s + 2.7 * r - 1.35**2 * s).mean() for s in np.geomspace(0.01, 2, 400))
+
+    mine = np.array(got.stages[1].getOrDefault("fitted")["weights"][0])
+    before = objective(old.coefficients.toArray(), old.intercept)
+    assert objective(mine[:-1] / np.sqrt(2 / 200), mine[-1]) <= before * 1.01
+    out = got.transform(df).select("prediction", "label").toPandas()
+    error = float((out["prediction"] != out["label"]).mean()) if task == "binary" else float(((out["prediction"] - out["label"]) ** 2).mean())
+    assert error < 0.1
+
+
+def test_rbf_machine_of_three_classes(spark, monkeypatch):
+    monkeypatch.setattr(models.RbfMachine, "BANDS", (2.0,))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2))
+    y = np.digitize((x**2).sum(1), [0.8, 2.5]).astype(float)
+    df = spark.createDataFrame([([float(a) for a in v], float(b)) for v, b in zip(x, y)], "v array<double>, label double").select(array_to_vector("v").alias("features"), "label")
+    m = models.classifiers(len(x), 2, False, 3)["SVM_R"].build(gamma=0.5).fit(df)
+    assert len(m.stages[1].getOrDefault("fitted")["weights"]) == 3
+    path = f"{checkpoint_root(spark)}/rbf"
+    m.write().overwrite().save(path)
+    out = PipelineModel.load(path).transform(df).select("label", "prediction", vector_to_array("probability").alias("p")).toPandas()
+    assert (out["label"] == out["prediction"]).mean() > 0.9 and all(len(p) == 3 and abs(sum(p) - 1) < 1e-9 for p in out["p"])
