@@ -322,3 +322,20 @@ def test_rbf_machine_of_three_classes(spark, monkeypatch):
     m.write().overwrite().save(path)
     out = PipelineModel.load(path).transform(df).select("label", "prediction", vector_to_array("probability").alias("p")).toPandas()
     assert (out["label"] == out["prediction"]).mean() > 0.9 and all(len(p) == 3 and abs(sum(p) - 1) < 1e-9 for p in out["p"])
+
+
+def test_shadows_permute_each_slot_without_shuffle_or_join(spark, monkeypatch):
+    monkeypatch.setattr(selection, "SHADOW_ROWS", 500)
+    df, x, y = linear_data(spark, 4000)
+    rows = selection.dealt(df, "features")
+    data = selection.shadow_features(rows, 7, "both")
+    assert not any(k in data._jdf.queryExecution().toString() for k in ("Exchange", "Join"))  # four row orders and three joins before
+    got = data.toPandas()
+    both, label = np.stack(got["both"].map(lambda v: v.toArray())), got["label"].to_numpy()
+    assert sorted(map(tuple, np.column_stack([both[:, :3], label]))) == sorted(map(tuple, np.column_stack([x, y])))
+    for j in range(3):
+        assert np.array_equal(np.sort(both[:, 3 + j]), np.sort(x[:, j]))
+        assert (both[:, 3 + j] != both[:, j]).mean() > 0.9 and abs(np.corrcoef(both[:, 3 + j], label)[0, 1]) < 0.1
+    assert abs(np.corrcoef(both[:, 3], both[:, 5])[0, 1]) < 0.1  # each slot by itself
+    again = selection.shadow_features(rows, 8, "both").toPandas()
+    assert not np.array_equal(both[:, 3:], np.stack(again["both"].map(lambda v: v.toArray()))[:, 3:])
