@@ -134,3 +134,31 @@ def test_odd_tables(spark, df):
     assert all(r.a is None and r.c is None and r.d == 1.0 for r in got)
     assert ForestImputer(nums=[], cats=[]).fit(df).transform(df).count() == df.count()
     assert Pipeline(stages=[ForestImputer(nums=["b"], cats=[])]).fit(df).transform(df).where("b IS NULL").isEmpty()
+
+
+def test_donor_stages_use_all_cores_and_score_only_gaps(spark, monkeypatch):
+    from lakelens.operators import impute
+
+    monkeypatch.setattr(impute, "FEW", 50)
+    one_part = spark.range(400, numPartitions=1).select(
+        (F.col("id") % 23).cast("double").alias("a"),
+        F.when(F.col("id") % 5 != 0, (F.col("id") % 7).cast("double")).alias("b"),
+        F.when(F.col("id") % 3 != 0, F.when(F.col("id") % 2 == 0, "x").otherwise("y")).alias("c"),
+    )
+    parts, scored = [], []
+    learn, filled = impute._learn, impute.Stage._filled
+
+    def learn_seen(df, *rest):
+        parts.append(df.rdd.getNumPartitions())
+        return learn(df, *rest)
+
+    def filled_seen(self, df, *rest):
+        scored.append((self.target, df.count(), df.where(~F.col(f"__na_{self.target}")).count()))
+        return filled(self, df, *rest)
+
+    monkeypatch.setattr(impute, "_learn", learn_seen)
+    monkeypatch.setattr(impute.Stage, "_filled", filled_seen)
+    out = ForestImputer(nums=["a", "b"], cats=["c"], method="mice_forest", rounds=1).fit(one_part).transform(one_part)
+    assert min(parts) > 1
+    assert sorted(set(scored)) == [("b", 80, 0), ("c", 134, 0)]
+    assert out.count() == 400 and out.where("a IS NULL OR b IS NULL OR c IS NULL").count() == 0
