@@ -152,3 +152,28 @@ def test_pairwise_silhouette_has_no_limit_of_its_own(spark, monkeypatch):
     for i in range(len(x)):
         a, b = d[i, g == g[i]].sum() / ((g == g[i]).sum() - 1), d[i, g != g[i]].mean()
         assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-7)
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_blocks_keep_digits_and_ties_of_exact_distances(p, monkeypatch):
+    from lakelens.operators import knn
+
+    rng = np.random.default_rng(5)
+    grid = rng.integers(0, 3, (300, 6)).astype(float)  # many equal distances
+    spread, far = rng.normal(size=(300, 64)), rng.normal(size=(300, 9)) * 1e-6 + 1e6  # digits cancel in the last
+    wide = rng.normal(size=(300, 4)) * 10.0 ** rng.integers(-40, 40, (300, 1))
+    for x in (grid, spread, far, wide, np.zeros((40, 3))):
+        left, right = x[: len(x) // 3], x
+        exact = knn.distances(left, right, p)
+        for eps in (0.0, 1.0, 3.0, float(exact[0, 7]), float(np.median(exact))):
+            assert np.array_equal(knn.within(left, right, eps, p), exact <= eps)
+        for k in (1, 5, len(right)):
+            at, d = knn.nearest(left, right, k, p)
+            want = np.argsort(exact, axis=1, kind="stable")[:, :k]
+            assert np.array_equal(at, want) and np.array_equal(d, np.take_along_axis(exact, want, axis=1))
+    calls = []
+    pairs = knn.pair_distances
+    monkeypatch.setattr(knn, "pair_distances", lambda x, y, i, j, p: calls.append(len(i)) or pairs(x, y, i, j, p))
+    knn.within(spread, spread, 5.0 if p == 2 else 40.0, p)
+    knn.nearest(spread, spread, 5, p)
+    assert calls[0] < 0.01 * 300 * 300 and calls[1] < 6 * 300  # the others need no exact distance
