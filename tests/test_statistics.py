@@ -1,5 +1,6 @@
 """Distributions, quantiles, ranks, alerts and associations on small tables with known answers."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -163,3 +164,50 @@ def test_split_shuffles_each_row_once(spark):
             spark.conf.set(k, v)
     assert "SortMergeJoin" not in plan  # no join that brings a stratum to one task
     assert {r["c"]: (r["n"], r["t"]) for r in parts.groupBy("c").agg(F.count("*").alias("n"), F.sum(F.col("is_train").cast("int")).alias("t")).collect()} == {"big": (2000, 1600), "small": (1000, 800)}
+
+
+def test_split_shuffles_rows_without_their_hash(spark):
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    df = spark.range(3000).select("id", (F.col("id") % 2).alias("c"), F.rand(1).alias("x")).localCheckpoint()
+    try:
+        for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+            spark.conf.set(k, v)
+        ranked = shuffled_row_number(df, ["id"], 5, by=["c"])
+        plan = ranked._jdf.queryExecution().executedPlan()
+        dealt, stack = [], [plan]
+        while stack:  # exchanges of rows, which have the column x
+            node = stack.pop()
+            names = [a.name() for a in (node.output().apply(i) for i in range(node.output().size()))]
+            if "Exchange" in node.nodeName() and "x" in names:
+                dealt.append(names)
+            stack += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert [sorted(n) for n in dealt] == [["c", "id", "x"]]  # once, and neither the hash nor its prefix
+    got = {(r["c"], r["id"]): r["shuffle_rank"] for r in ranked.collect()}
+    for c in (0, 1):
+        wanted = sorted((i for i in range(3000) if i % 2 == c), key=lambda i: hashlib.md5(f"{i}|5".encode()).hexdigest())
+        assert [got[c, i] for i in wanted] == list(range(1, 1501))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_written_once_is_distinct(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(reshape, "BROADCAST_ROWS", 1)
+    nan, rows = float("nan"), [(i % 40, float(i % 40), f"t{i % 40}") for i in range(60)]
+    rows += [(100, 0.0, "z"), (100, -0.0, "z"), (101, nan, "n"), (101, nan, "n"), (None, None, None), (None, None, None), (None, 1.0, "a"), (1, None, "a")]
+    df = spark.createDataFrame(rows, "i int, x double, s string").repartition(5)
+    seen = lambda d: sorted(str((r["i"], None if r["x"] is None else r["x"] + 0.0, r["s"])) for r in d.collect())
+    assert seen(reshape.written_once(df)) == seen(df.distinct()) and len(seen(df.distinct())) == 45
+    assert seen(reshape.written_once(df.where("i >= 20 AND i < 40"))) == seen(df.where("i >= 20 AND i < 40"))  # none twice
+    assert reshape.written_once(df.where("i > 200")).count() == 0
+
+
+def test_written_once_shuffles_hashes_only(spark, monkeypatch):
+    def refuse(df):
+        raise AssertionError("rows are compared although no hash comes twice")
+
+    monkeypatch.setattr(reshape, "drop_duplicates", refuse)
+    df = spark.range(500).select("id", F.lit("a long text").alias("s"))
+    assert reshape.written_once(df).count() == 500
