@@ -339,3 +339,13 @@ def test_shadows_permute_each_slot_without_shuffle_or_join(spark, monkeypatch):
     assert abs(np.corrcoef(both[:, 3], both[:, 5])[0, 1]) < 0.1  # each slot by itself
     again = selection.shadow_features(rows, 8, "both").toPandas()
     assert not np.array_equal(both[:, 3:], np.stack(again["both"].map(lambda v: v.toArray()))[:, 3:])
+
+
+def test_prepared_rows_come_in_bounded_tasks(spark, folder, monkeypatch):
+    from lakelens.registry import model_queries as mq
+
+    monkeypatch.setattr(mq, "FIT_ROWS", 100)
+    monkeypatch.setattr(mq, "_ready", {})
+    train, test, _ = mq.ready(spark, folder)
+    per_file = [r["n"] for r in train.unionByName(test).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert max(per_file) <= 100 and sum(per_file) == mq.line_model_rows(spark, folder).distinct().count()
