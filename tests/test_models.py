@@ -349,3 +349,17 @@ def test_prepared_rows_come_in_bounded_tasks(spark, folder, monkeypatch):
     train, test, _ = mq.ready(spark, folder)
     per_file = [r["n"] for r in train.unionByName(test).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
     assert max(per_file) <= 100 and sum(per_file) == mq.line_model_rows(spark, folder).distinct().count()
+
+
+def test_selection_query_runs_all_rounds_of_boruta(spark, folder, monkeypatch):
+    from lakelens.registry import model_queries as mq
+
+    seen = []
+
+    def fit(self, df):
+        seen.append(self.isDefined(self.rounds))  # six rounds before, by which no slot of eight can be confirmed
+        return selection.SelectedFeatures()._set(indices=[0])
+
+    monkeypatch.setattr(selection.Boruta, "_fit", fit)
+    mq._selected(spark, folder, "boruta", "l_extendedprice")
+    assert seen == [False]
