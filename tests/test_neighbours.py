@@ -1,6 +1,7 @@
 """Neighbour joins, clustering and detectors against brute force on small fixtures."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,36 @@ def test_blocks_keep_digits_and_ties_of_exact_distances(p, monkeypatch):
     knn.within(spread, spread, 5.0 if p == 2 else 40.0, p)
     knn.nearest(spread, spread, 5, p)
     assert calls[0] < 0.01 * 300 * 300 and calls[1] < 6 * 300  # the others need no exact distance
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_tiles_keep_the_nearest_of_all(p):
+    rng = np.random.default_rng(6)
+    grid = rng.integers(0, 3, (300, 6)).astype(float)  # many equal distances
+    gaps = rng.normal(size=(300, 5))
+    gaps[50] = np.nan
+    for x in (grid, rng.normal(size=(300, 64)), rng.normal(size=(300, 9)) * 1e-6 + 1e6, gaps, np.zeros((40, 3))):
+        for k in (1, 7, 40):
+            at, d = knn.nearest_by_tiles(x[:100], x, k, p, 16)
+            want, exact = knn.nearest(x[:100], x, k, p)
+            assert np.array_equal(at, want) and np.array_equal(d, exact, equal_nan=True)
+
+
+def test_rows_are_shuffled_to_few_blocks(spark):
+    n, block = 3000, 50  # 60 blocks on each side before, so that every row was shuffled 60 times
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, 4)).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<float>")
+    rows = knn.vectors(df, "id", "features")
+    assert dict(rows.dtypes)["v"] == "array<float>"  # doubles before
+    queries = rows.select(F.col("id").alias("qid"), "v", F.lit(0).alias("cell"))
+
+    def sizes(left, x, right, y):
+        return pd.DataFrame({"l": [len(x)], "r": [len(y)]})
+
+    got = knn.run_blocks(queries, rows, sizes, "l long, r long", 4, block=block).toPandas()
+    assert (got["l"] * got["r"]).sum() == n * n
+    assert got["l"].sum() + got["r"].sum() <= 2 * 6 * n
+    many = np.zeros((20, 20)) + 0.1 * np.abs(np.subtract.outer(np.arange(20), np.arange(20)))
+    of = knn._bundles(np.full(20, 10), many, 45)  # cells share bundles with their neighbours
+    assert of.tolist() == [i // 4 for i in range(20)]
